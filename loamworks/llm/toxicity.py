@@ -206,3 +206,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _clean(weights, place: int, threshold: float):
+    score_ = scorer(weights)
+
+    def run(batches):
+        for b in batches:
+            pair = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows), b.column(place)], ["doc_id", "text"])
+            for got in score_([pair]):
+                yield b.filter(pa.array(got.column(1).to_numpy() < threshold))
+
+    return run
+
+
+def reject(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, all their columns kept, that score below the threshold."""
+    sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    return docs.mapInArrow(_clean(sent, docs.columns.index("text"), threshold), docs.schema)
