@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import insort
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -16,46 +17,68 @@ from .common import table
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-#: White space to Python that the tokenizers' rules may treat as signs.
-ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+#: White space to Python that the tokenizers' rules may treat as signs; letters whose lower case may differ by library.
+ODD = re.compile("[\x1c-\x1f\x85\xa0\u0130\u0250-\U0010ffff]")
+#: A stop or comma that is part of a longer run of signs, which stays one word.
+RUN = re.compile(r"[^\w\s][.,]\s|_[.,]\s")
 PLAIN = re.compile(r"[^ \t-\r]+")
-MOST_WORDS = 300_000  # words whose ids a worker remembers
+MOST_WORDS = 700_000  # words whose ids a worker remembers
 
 
 class Encoder:
     """Ids of whole texts, word by word with a bounded memory of words.
 
-    Right for tokenizers whose rules never look across white space, such as word_bpe_49k;
-    others must set `whole`.
+    Right for tokenizers that lower case, never look across white space, and mark the last id of
+    a word, such as word_bpe_49k; others must set `whole`.
     """
 
     def __init__(self, path: str, whole: bool = False):
         from tokenizers import Tokenizer
 
         self.tok, self.whole, self.known = Tokenizer.from_file(path), whole, {}
-
-    def _ask(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tok.encode_batch(words, add_special_tokens=False), strict=True):
-            self.known[w] = np.asarray(e.ids, "<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
+        vocab = self.tok.get_vocab()
+        self.last = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.last[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
+
+    def words(self, text: str) -> list[str]:
+        if ODD.search(text) or "<|" in text:
+            return PLAIN.findall(text)
+        text = text.lower()
+        if not RUN.search(text):
+            text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n")
+        return text.split()
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [w for w in new if w.isalpha()]
+        for i in range(0, len(plain), 4000):
+            part = plain[i : i + 4000]
+            ids = np.asarray(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+            if len(ends) == len(part):
+                data, at = ids.tobytes(), 0
+                for w, end in zip(part, ends.tolist(), strict=True):
+                    self.known[w] = data[at:end]
+                    at = end
+        if rest := [w for w in new if w not in self.known]:
+            for w, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+                self.known[w] = np.asarray(e.ids, "<u4").tobytes()
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Of each text its ids as little-endian unsigned 32-bit numbers."""
         if self.whole:
-            return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = PLAIN.findall(text) if ODD.search(text) else text.split()
-        known = self.known
+            return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        rows, known = [self.words(t) for t in texts], self.known
         if len(known) > MOST_WORDS:
             known.clear()
-        if new := {w for w in words if w not in known}:
-            # A word and the comma or stop after it are split apart, and ASCII letters count in lower case.
-            core = {w: w[:-1] if w[-1] in ".," and w[:-1].isalpha() else w for w in new}
-            core = {w: c.lower() if c.isascii() else c for w, c in core.items()}
-            tails = {w[-1] for w, c in core.items() if len(c) < len(w)}
-            if ask := [c for c in {*core.values(), *tails} if c not in known]:
-                self._ask(ask)
-            for w, c in core.items():
-                known[w] = known[c] + known[w[-1]] if len(c) < len(w) else known[c]
-        return b"".join([known[w] for w in words])
+        if new := set().union(*rows).difference(known):
+            self._learn(list(new))
+        return [b"".join([known[w] for w in row]) for row in rows]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, whole: bool) -> Encoder:
+    """A worker's encoder, with the words that its earlier tasks have met."""
+    return Encoder(path, whole)
 
 
 class Pool:
@@ -111,11 +134,26 @@ class Pool:
         return out
 
 
+def runs(batches, most: int = 500_000):
+    """Ids and texts of successive rows, of about `most` characters together."""
+    docs, texts, size = [], [], 0
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            docs.append(doc)
+            texts.append(text.as_py() or "")
+            size += len(texts[-1])
+            if size > most:
+                yield docs, texts
+                docs, texts, size = [], [], 0
+    if docs:
+        yield docs, texts
+
+
 def packer(capacity: int, path: str, eos: int, whole: bool, least: int):
     def run(batches):
         task = TaskContext.get()
         base = (task.partitionId() if task else 0) << 33
-        encode, pool, n = Encoder(path, whole), Pool(capacity), 0
+        encode, pool, n = encoder(path, whole), Pool(capacity), 0
         tail = np.asarray([eos], "<u4").tobytes()
 
         def rows(pieces):
@@ -131,10 +169,9 @@ def packer(capacity: int, path: str, eos: int, whole: bool, least: int):
                 at += length
             n += 1
 
-        for batch in batches:
-            texts = batch.column(1)
-            for i, doc in enumerate(batch.column(0).to_pylist()):
-                ids = encode(texts[i].as_py() or "") + tail
+        for docs, texts in runs(batches):
+            for doc, ids in zip(docs, encode(texts), strict=True):
+                ids += tail
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
                     part = ids[4 * start : 4 * (start + capacity)]
