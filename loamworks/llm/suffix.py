@@ -59,14 +59,15 @@ def _bytes(text: pa.Scalar) -> np.ndarray:
 def _entries(length: int, prefix: int, batches_: int):
     def run(batches):
         for b in batches:
-            out, keys = [], []
+            out, keys, n = [], [], 0
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if got := anchors(_bytes(text), length, prefix):
                     out.append(got)
                     keys.append(np.full(len(got[0]), key, np.int64))
-                if sum(map(len, keys)) > 200_000:
+                    n += len(got[0])
+                if n > 100_000:
                     yield _batch(out, keys, batches_)
-                    out, keys = [], []
+                    out, keys, n = [], [], 0
             if out:
                 yield _batch(out, keys, batches_)
 
@@ -259,9 +260,7 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, prefix: int
     """
     spark = docs.sparkSession
     rows = keyed(docs).select("key", "text")
-    path = scratch.path("entries")
-    rows.mapInArrow(_entries(length, prefix, batches), f"{ENTRY}, batch int").write.option("compression", "zstd").partitionBy("batch").parquet(path)
-    entries = spark.read.schema(f"{ENTRY}, batch int").parquet(path)
+    entries = scratch.cut(rows.mapInArrow(_entries(length, prefix, batches), f"{ENTRY}, batch int"), "entries")
     index = SuffixIndex(scratch)
     for b in range(batches):
         index.add(entries.where(F.col("batch") == b).drop("batch"))
