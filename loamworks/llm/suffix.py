@@ -298,9 +298,11 @@ def spans(marks: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _removed(length: int, texts: bool):
+def _removed(length: int, texts: bool, filter_=None):
+    """With a filter, only for the documents whose key is not in it, as their first step."""
+
     def run(batches):
-        for b in batches:
+        for b in batches if filter_ is None else (x.select(["doc_id", "text"]) for x in _only(filter_, False)(batches)):
             got = []
             marks = b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows
             for text, some in zip(b.column(1), marks, strict=True):
@@ -333,7 +335,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, batc
     held = docs.sparkSession.sparkContext.broadcast(key_filter(marks))
     rows = keyed(docs).select("key", "doc_id", "text")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>" + ", kept binary" * texts
-    clean = rows.mapInArrow(_only(held, False), "key long, doc_id long, text string").select("doc_id", "text").mapInArrow(_removed(length, texts), schema)
+    clean = rows.mapInArrow(_removed(length, texts, held), schema)
     cut = rows.mapInArrow(_only(held, True), "key long, doc_id long, text string").join(marks, "key", "left").select("doc_id", "text", "marks").mapInArrow(_removed(length, texts), schema)
     return clean.unionByName(cut)
 
