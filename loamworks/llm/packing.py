@@ -18,9 +18,9 @@ from .common import table
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: White space to Python that the tokenizers' rules may treat as signs; letters whose lower case may differ by library.
-ODD = re.compile("[\x1c-\x1f\x85\xa0\u0130\u0250-\U0010ffff]")
+ODD = re.compile("[\x85\xa0\u0130\u0250-\U0010ffff]")
 #: A stop or comma that is part of a longer run of signs, which stays one word.
-RUN = re.compile(r"[^\w\s][.,]\s|_[.,]\s")
+RUN = re.compile(r"[.,](?<=[\W_][.,])(?<!\s[.,])\s")
 PLAIN = re.compile(r"[^ \t-\r]+")
 MOST_WORDS = 700_000  # words whose ids a worker remembers
 
@@ -41,7 +41,7 @@ class Encoder:
         self.last[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
 
     def words(self, text: str) -> list[str]:
-        if ODD.search(text) or "<|" in text:
+        if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f") or not text.isascii() and ODD.search(text):
             return PLAIN.findall(text)
         text = text.lower()
         if not RUN.search(text):
