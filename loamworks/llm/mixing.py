@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import re
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -97,14 +97,29 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS,
     )
 
 
-def first_words(text: pd.Series, n: pd.Series) -> pd.Series:
+def first_words(text: str, n: int) -> str:
     """The text up to the end of its n-th word."""
+    end = 0
+    for m in itertools.islice(WORD.finditer(text), n):
+        end = m.end()
+    return text[:end]
 
-    def cut(t, k):
-        ends = [m.end() for m in itertools.islice(WORD.finditer(t), k)]
-        return t[: ends[-1]] if ends else ""
 
-    return pd.Series([cut(t, k) for t, k in zip(text, n, strict=True)], dtype=object)
+def _cut(place: int):
+    """Cuts the text of rows of which the run reads fewer words than there are; the last columns are words and size."""
+
+    def run(batches):
+        for b in batches:
+            words, size = b.column(b.num_columns - 2).to_numpy(), b.column(b.num_columns - 1).to_numpy()
+            part = np.flatnonzero(words < size)
+            if len(part):
+                texts = b.column(place).to_pylist()
+                for i in part.tolist():
+                    texts[i] = first_words(texts[i], int(words[i]))
+                b = b.set_column(place, b.schema.field(place).name, pa.array(texts, pa.string()))
+            yield pa.RecordBatch.from_arrays(b.columns[:-1], b.schema.names[:-1])
+
+    return run
 
 
 def curriculum(docs: DataFrame, scratch: Scratch, slopes: tuple[float, ...] = SLOPES, **how) -> DataFrame:
@@ -121,9 +136,9 @@ def curriculum(docs: DataFrame, scratch: Scratch, slopes: tuple[float, ...] = SL
     share = (F.col("pass") * F.col("_p.source_size") + F.col("_p.source_offset")) / F.col("_p.target")
     out = out.withColumn("position", position(F.least(F.lit(1.0), share), cycle(slopes, F.col("_p.rank"))))
     out = out.withColumn("words", F.least(F.col("_p.size"), F.col("_p.taken") - F.col("pass") * F.col("_p.size")))
-    part = F.col("words") < F.col("_p.size")
-    cut = out.where(part).withColumn("text", F.pandas_udf(first_words, "string")("text", "words"))
-    return out.where(~part).unionByName(cut).select(*[F.col(c) for c in docs.columns], "position", "pass", "words").orderBy("position", "doc_id")
+    out = out.select(*[F.col(c) for c in docs.columns], "position", "pass", "words", F.col("_p.size").alias("_size"))
+    out = scratch.cut(out.mapInArrow(_cut(docs.columns.index("text")), out.drop("_size").schema), "read")
+    return out.orderBy("position", "doc_id")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ ODD = re.compile("[\x85\xa0\u0130\u0250-\U0010ffff]")
 #: A stop or comma that is part of a longer run of signs, which stays one word.
 RUN = re.compile(r"[.,](?<=[\W_][.,])(?<!\s[.,])\s")
 PLAIN = re.compile(r"[^ \t-\r]+")
-MOST_WORDS = 700_000  # words whose ids a worker remembers
+MOST_WORDS = 500_000  # words whose ids a worker remembers
 
 
 class Encoder:

@@ -21,14 +21,14 @@ BAD, GOOD, ABSTAIN = 0, 1, 2
 SHAPES = ((re.compile("[a-zß-öø-ÿ]+"), "a"), (re.compile("[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile("[0-9]+"), "0"), (re.compile(r"([^aA0])\1+"), r"\1"))
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def shape(word: str) -> str:
     for rule, to in SHAPES:
         word = rule.sub(to, word)
     return word[:8]
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def slot(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "replace")) >> (32 - BITS)
 

@@ -34,7 +34,7 @@ SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
 EDGE = ".,;:!?\"'()[]{}<>*#%$&|-_"
 
 
-@lru_cache(maxsize=400_000)
+@lru_cache(maxsize=20_000)
 def features(word: str) -> tuple[int, ...]:
     """Hashed features of a word: itself and, of longer words, how it begins."""
     w = word.strip(EDGE)
@@ -165,7 +165,7 @@ def scorer(weights):
                 text = texts[k].as_py()
                 if text:
                     words = set(text.lower().split())
-                    if len(known) > 400_000:
+                    if len(known) > 250_000:
                         known.clear()
                     for x in words:
                         s = known.get(x)
