@@ -93,10 +93,10 @@ class Sparse:
         self.row = np.repeat(np.arange(self.n), [len(x) for x in i]) if self.n else np.zeros(0, np.int64)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.val * w[self.col], self.n)
+        return np.bincount(self.row, self.val * w[self.col], self.n).astype(float)
 
     def back(self, r: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.col, self.val * r[self.row], size)
+        return np.bincount(self.col, self.val * r[self.row], size).astype(float)
 
 
 def fit(x: Sparse, y: np.ndarray, change: Sparse, fairness: float = 1.0, l1: float = 2e-4, l2: float = 1e-5, steps: int = 150) -> np.ndarray:
@@ -107,7 +107,7 @@ def fit(x: Sparse, y: np.ndarray, change: Sparse, fairness: float = 1.0, l1: flo
     """
     size = (1 << BITS) + 1
     n = max(1, x.n)
-    bend = np.bincount(x.col, x.val**2, size) * 0.25 / n
+    bend = np.bincount(x.col, x.val**2, size).astype(float) * 0.25 / n
     if change.n:
         bend += 2 * fairness * np.bincount(change.col, change.val**2, size) / change.n
     bend[-1] = 0.25
