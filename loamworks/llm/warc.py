@@ -106,7 +106,7 @@ def _record(row: bytes, start: int, fields: dict[bytes, bytes]) -> dict:
     }
 
 
-ROWS = f"file string, split long, seq long, at long, size long, need long, {RECORDS}"
+ROWS = f"file long, split long, seq long, at long, size long, need long, {RECORDS}"
 
 
 def _candidates(batches):
@@ -154,7 +154,7 @@ def _follow(t: pa.Table) -> pa.Table:
         while x in nxt and x not in got:
             got.add(x)
             x = nxt[x]
-    return pa.Table.from_arrays([pa.array([t.column("file")[0].as_py()] * len(got), pa.string()), pa.array(sorted(got), pa.int64())], ["file", "o"])
+    return pa.Table.from_arrays([pa.array([t.column("file")[0].as_py()] * len(got), pa.int64()), pa.array(sorted(got), pa.int64())], ["file", "o"])
 
 
 def reachable(scratch: Scratch, cands: DataFrame, block: int = 4 << 20) -> DataFrame:
@@ -165,7 +165,7 @@ def reachable(scratch: Scratch, cands: DataFrame, block: int = 4 << 20) -> DataF
     pointer doubles, so rounds grow with the logarithm of a file's blocks.
     """
     cands = cands.withColumn("blk", F.floor(F.col("o") / block))
-    exits = scratch.cut(cands.groupBy("file", "blk").applyInArrow(_exits(block), "file string, blk long, o long, exit long"), "exits")
+    exits = scratch.cut(cands.groupBy("file", "blk").applyInArrow(_exits(block), "file long, blk long, o long, exit long"), "exits")
     hit = exits.select("file", F.col("exit").alias("o")).where("o IS NOT NULL").distinct()
     state = exits.join(hit, ["file", "o"], "left_semi").where("o > 0").unionByName(exits.where("o = 0"))
     state = scratch.cut(state.select("file", "o", F.col("exit").alias("j"), (F.col("o") == 0).alias("marked")), "jumps")
@@ -181,12 +181,12 @@ def reachable(scratch: Scratch, cands: DataFrame, block: int = 4 << 20) -> DataF
         scratch.drop(state)
         state = nxt
     entry = state.where("marked").select("file", "o", F.lit(True).alias("entry"))
-    return cands.join(entry, ["file", "o"], "left").groupBy("file", "blk").applyInArrow(_follow, "file string, o long")
+    return cands.join(entry, ["file", "o"], "left").groupBy("file", "blk").applyInArrow(_follow, "file long, o long")
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.option("lineSep", BOUNDARY).text(path)
-    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("value"))
+    return text.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("value"))
 
 
 def _whole(t: pa.Table) -> pa.Table:
@@ -239,7 +239,7 @@ def read(spark: SparkSession, path: str, scratch: Scratch, block: int = 4 << 20)
     own = F.last("o", True).over(Window.partitionBy("file").orderBy("p")).alias("owner")
     owner = every.join(parted.select("file", F.col("o").alias("p"), "o", "nxt"), ["file", "p"], "left")
     owner = owner.select("file", "split", "seq", "p", own, F.last("nxt", True).over(Window.partitionBy("file").orderBy("p")).alias("until")).where("owner IS NOT NULL AND p < until")
-    parts = pieces(spark, path).mapInArrow(_numbered, "file string, split long, seq long, value binary").join(owner, ["file", "split", "seq"])
+    parts = pieces(spark, path).mapInArrow(_numbered, "file long, split long, seq long, value binary").join(owner, ["file", "split", "seq"])
     return out.unionByName(parts.groupBy("file", "owner").applyInArrow(_whole, RECORDS))
 
 
