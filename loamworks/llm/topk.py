@@ -21,11 +21,11 @@ class Shard:
     between 0 and the impact of the dimension's next segment.
     """
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, step: int = 16):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, step: int = 32):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], x[order]
         self.low, self.high = self.x.min(0), self.x.max(0)
-        self.segments = []  # by dimension: (least value, greatest value, rows, values), ascending
+        self.segments = []  # by dimension, ascending: least value, greatest value, rows, values above the dimension's least, values below its greatest
         for d in range(x.shape[1]):
             v = self.x[:, d]
             rows = np.argsort(v, kind="stable")
@@ -33,9 +33,9 @@ class Shard:
             level = (v - v[0]) // max(1, step)
             cuts = np.flatnonzero(np.diff(level)) + 1
             ends = [0, *cuts.tolist(), len(v)]
-            self.segments.append([(v[a], v[b - 1], rows[a:b], v[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)])
+            self.segments.append([(v[a], v[b - 1], rows[a:b], v[a:b] - v[0], v[a:b] - v[-1]) for a, b in zip(ends[:-1], ends[1:], strict=True)])
 
-    def search(self, own: int, q: np.ndarray, k: int, every: int = 48, few: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, own: int, q: np.ndarray, k: int, every: int = 32, few: int = 1024) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows that are not `own`; ties go to the smaller id."""
         impact, where = [], []
         for d in np.flatnonzero((q != 0) & (self.high > self.low)):
@@ -45,7 +45,7 @@ class Shard:
             where += [(d, s) for s in range(len(segs))]
         acc = np.zeros(len(self.ids), np.int64)
         acc[self.ids == own] = np.iinfo(np.int64).min // 4
-        order = np.argsort(-np.asarray(impact, np.int64), kind="stable")
+        order = np.argsort(-np.asarray(impact, np.int64), kind="stable").tolist()
         ahead: dict[int, list[int]] = {}
         for i in order[::-1]:
             ahead.setdefault(where[i][0], []).append(impact[i])
@@ -53,9 +53,9 @@ class Shard:
         maybe = np.arange(len(self.ids))
         for n, i in enumerate(order, 1):
             d, s = where[i]
-            _, _, rows, v = self.segments[d][s]
-            w = int(q[d])
-            acc[rows] += w * (v - (self.low[d] if w > 0 else self.high[d]))
+            w = q[d]
+            _, _, rows, above, below = self.segments[d][s]
+            acc[rows] += w * (above if w > 0 else below)
             left = ahead[d]
             rest += (left[-2] if len(left) > 1 else 0) - left.pop()
             if n % every == 0 and len(acc) > k:
@@ -109,7 +109,7 @@ def _integers(scale: float):
     return run
 
 
-def top_k(vectors: DataFrame, scratch: Scratch, k: int = 5, every: int = 50, scale: float = 256.0, shard_rows: int = 4096, block_rows: int = 2048) -> DataFrame:
+def top_k(vectors: DataFrame, scratch: Scratch, k: int = 5, every: int = 50, scale: float = 256.0, shard_rows: int = 8192, block_rows: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: of each query (vec_id divisible by `every`) the k best other rows.
 
     Components become floor(scale * x); scores are integer inner products and exact. All
