@@ -1,0 +1,294 @@
+"""Page layout: lines, paragraphs, tables, running heads and figures from boxes."""
+
+from __future__ import annotations
+
+import itertools
+import json
+import re
+from statistics import fmean, median
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import fixed
+from ..sources.readers import BLOCK, TABLE
+from . import sequences
+
+# Geometry in median line heights, and sizes.
+LINE_OVERLAP, PARAGRAPH_GAP, SHORT_LINE, INDENT = 0.4, 0.5, 2.0, 1.2
+COLUMN_GAP, SEGMENT_GAP, LABEL_SHARE = 1.6, 1.3, 0.4
+MOST_CAPTION, LEAST_ROWS, LEAST_COLUMNS = 200, 2, 3
+FIGURE_GAP, FIGURE_CONFIDENCE, FIGURE_AREA, SCAN_AREA, SCALE = 6.0, 0.3, 0.03, 0.5, 0.36
+
+# What a form label and a value look like.
+COLON = re.compile(r"^[A-Za-z][^:]{0,40}:")
+PHRASE = re.compile(r"^[A-Z][A-Za-z]+(?:\s+[A-Za-z]+){1,4}$")
+VALUE = re.compile(r"[0-9<>≤≥%]|^[A-Z]{1,5}[-\d]")
+
+
+def is_label(cell: str) -> bool:
+    return bool(COLON.match(cell) or PHRASE.match(cell) and not VALUE.search(cell))
+
+
+class Line:
+    """Boxes (text, x0, y0, x1, y1, score) side by side."""
+
+    def __init__(self, box):
+        self.boxes, self.y0, self.y1 = [box], box[2], box[4]
+
+    def takes(self, box) -> bool:
+        """Whether a box shares enough of the line's height, or the line of the box's, to stand in it."""
+        least = min(max(1.0, box[4] - box[2]), self.y1 - self.y0)
+        return least > 0 and (min(box[4], self.y1) - max(box[2], self.y0)) / least >= LINE_OVERLAP
+
+    def add(self, box) -> None:
+        self.boxes.append(box)
+        self.y0, self.y1 = min(self.y0, box[2]), max(self.y1, box[4])
+
+    @property
+    def cells(self) -> list[str]:
+        return [c for c in (b[0].strip() for b in self.boxes) if c]
+
+    @property
+    def pairs_up(self) -> bool:
+        """A label and its value, or a row in which enough cells end their labels with a colon."""
+        cells = self.cells
+        if len(cells) == 2 and is_label(cells[0]) and not is_label(cells[1]):
+            return True
+        return bool(cells) and sum(bool(COLON.match(c)) for c in cells) >= LABEL_SHARE * len(cells)
+
+    def raw(self) -> dict:
+        return {"text": " ".join(self.cells), "bbox": extent(self.boxes), "confidence": min(b[5] for b in self.boxes), "style": None}
+
+
+def extent(boxes) -> list[float]:
+    return [min(b[1] for b in boxes), min(b[2] for b in boxes), max(b[3] for b in boxes), max(b[4] for b in boxes)]
+
+
+def lines(boxes: list) -> list[Line]:
+    out: list[Line] = []
+    for box in sorted(boxes, key=lambda b: ((b[2] + b[4]) / 2, b[1])):
+        if out and out[-1].takes(box):
+            out[-1].add(box)
+        else:
+            out.append(Line(box))
+    for line in out:
+        line.boxes.sort(key=lambda b: b[1])
+    return out
+
+
+def islands(rows: list, apart) -> list[list]:
+    """Cuts a list wherever apart(previous, next) holds."""
+    cuts = [i for i in range(1, len(rows)) if apart(rows[i - 1], rows[i])]
+    return [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+
+
+def pairs_of(segment: list[Line]) -> list[dict]:
+    out = []
+    for line in segment:
+        cells = iter(line.cells)
+        ahead = next(cells, None)
+        while ahead is not None:
+            cell, ahead = ahead, next(cells, None)
+            free = ahead is not None and not is_label(ahead)
+            if COLON.match(cell):
+                label, value = (x.strip() for x in cell.split(":", 1))
+                if not value and free:
+                    value, ahead = ahead, next(cells, None)
+                out.append({"label": label, "value": value})
+            elif is_label(cell) and free:
+                out.append({"label": cell, "value": ahead})
+                ahead = next(cells, None)
+    return out
+
+
+def as_pairs(segment: list[Line], page: int, unit: float) -> dict | None:
+    pairs = pairs_of(segment)
+    return _table(segment, page, kind="key_value", pairs=pairs) if len(pairs) >= 2 else None
+
+
+def as_grid(segment: list[Line], page: int, unit: float) -> dict | None:
+    """A grid whose columns are clusters of cell centres; columns without any text are spurious."""
+    middle = lambda b: (b[1] + b[3]) / 2
+    centres = [fmean(c) for c in islands(sorted(middle(b) for line in segment for b in line.boxes), lambda a, b: b - a > COLUMN_GAP * unit)]
+    if len(centres) < LEAST_COLUMNS:
+        return None
+    rows = []
+    for line in segment:
+        row: list[list[str]] = [[] for _ in centres]
+        for b in line.boxes:
+            row[min(range(len(centres)), key=lambda i: abs(centres[i] - middle(b)))].append(b[0])
+        rows.append([" ".join(c) if len(c) > 1 else "".join(c) for c in row])
+    full = [i for i in range(len(centres)) if any(r[i] for r in rows)]
+    if len(full) < LEAST_COLUMNS:
+        return None
+    rows = [[r[i] for i in full] for r in rows]
+    return _table(segment, page, kind="grid", headers=rows[0], rows=rows[1:], n_cols=len(full), n_rows=len(rows))
+
+
+def _table(segment: list[Line], page: int, **of) -> dict:
+    boxes = [b for line in segment for b in line.boxes]
+    return {"title": "", "page": page, "bbox": _bbox(extent(boxes)), "source_pages": [page], "confidence": min(b[5] for b in boxes), "continues_from": False, "continues_to": False, "headers": [], "rows": [], "pairs": []} | of
+
+
+def _bbox(x) -> dict:
+    return dict(zip(("x0", "y0", "x1", "y1"), x, strict=True))
+
+
+def paragraphs(raw: list[dict], page: int) -> list[dict]:
+    """Blocks of lines: a new one after a gap, after a short line, at an indent or where the style changes."""
+    rows = sorted((r for r in raw if r["text"].strip()), key=lambda r: (r["bbox"][1], r["bbox"][0]))
+    if not rows:
+        return []
+    unit = median(max(1.0, r["bbox"][3] - r["bbox"][1]) for r in rows)
+    right = max(r["bbox"][2] for r in rows)
+    out, left = [[rows[0]]], rows[0]["bbox"][0]
+    for was, row in itertools.pairwise(rows):
+        (_, _, end, bottom), (start, top, _, _) = was["bbox"], row["bbox"]
+        if top - bottom > PARAGRAPH_GAP * unit or end < right - SHORT_LINE * unit or start > left + INDENT * unit or _restyled(was["style"], row["style"]):
+            out.append([row])
+            left = start
+        else:
+            out[-1].append(row)
+            left = min(left, start)
+    return [_block(rows, page, i) for i, rows in enumerate(out)]
+
+
+def _restyled(a: dict | None, b: dict | None) -> bool:
+    styled = lambda s: s and (s["font"] or s["size"] > 0)
+    return bool(styled(a) and styled(b) and (a["font"] != b["font"] or abs(a["size"] - b["size"]) > 1.0 or a["bold"] != b["bold"]))
+
+
+def _block(rows: list[dict], page: int, order: int) -> dict:
+    boxes = [("", *r["bbox"], r["confidence"]) for r in rows]
+    style = next((r["style"] for r in rows if r["style"] and (r["style"]["font"] or r["style"]["size"] > 0)), None)
+    return {
+        "role": "paragraph", "text": " ".join(r["text"].strip() for r in rows), "bbox": _bbox(extent(boxes)), "page": page, "reading_order": order, "confidence": min(r["confidence"] for r in rows), "style": style,
+        "lines": [{"text": r["text"], "bbox": _bbox(r["bbox"]), "confidence": r["confidence"]} for r in rows],
+    }
+
+
+def rebuild(boxes: list, page: int) -> tuple[list[dict], list[dict]]:
+    """Blocks and tables of a page of boxes."""
+    boxes = [b for b in boxes if b[0] and b[0].strip()]
+    if not boxes:
+        return [], []
+    unit = median(max(1.0, b[4] - b[2]) for b in boxes)
+    prose, tables, said = [], [], ""
+    for wide, run in itertools.groupby(lines(boxes), key=lambda line: len(line.boxes) >= 2):
+        run = list(run)
+        if not wide:
+            prose += [line.raw() for line in run]
+            said = next((line.raw()["text"] for line in reversed(run) if line.cells), said)
+            continue
+        parts = islands(run, lambda a, b: b.y0 - a.y1 > SEGMENT_GAP * unit or a.pairs_up != b.pairs_up) if len(run) >= LEAST_ROWS else [run]
+        for part in parts:
+            ways = (as_pairs, as_grid) if 2 * sum(line.pairs_up for line in part) >= len(part) else (as_grid, as_pairs)
+            table = next((t for way in ways if (t := way(part, page, unit))), None) if len(part) >= LEAST_ROWS else None
+            if table is None:
+                prose += [line.raw() for line in part]
+                continue
+            if said and len(said) <= MOST_CAPTION:
+                table["title"], said = said, ""
+            tables.append(table)
+    return paragraphs(prose, page), tables
+
+
+def _pages():
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        doc, page = rows["doc_id"].iloc[0], int(rows["page"].iloc[0])
+        boxes = list(rows[["text", "x0", "y0", "x1", "y1", "score"]].itertuples(index=False, name=None))
+        blocks, tables = rebuild(boxes, page)
+        return pd.DataFrame([(doc, page, json.dumps(blocks), json.dumps(tables))], columns=["doc_id", "page", "blocks", "tables"])
+
+    return run
+
+
+def reconstruct(regions: DataFrame) -> DataFrame:
+    """doc_id, page, blocks, tables from boxes (doc_id, page, text, x0, y0, x1, y1, score); a page is one bounded group."""
+    df = regions.select("doc_id", F.col("page").cast("int"), "text", *[F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")], F.coalesce(F.col("score").cast("double"), F.lit(1.0)).alias("score"))
+    out = df.where("text IS NOT NULL AND x0 IS NOT NULL").groupBy("doc_id", "page").applyInPandas(_pages(), "doc_id string, page int, blocks string, tables string")
+    return out.select("doc_id", "page", F.from_json("blocks", f"array<{BLOCK}>").alias("blocks"), F.from_json("tables", f"array<{TABLE}>").alias("tables"))
+
+
+def _lines_to_blocks(rows: pd.DataFrame) -> pd.DataFrame:
+    doc, page = rows["doc_id"].iloc[0], int(rows["page"].iloc[0])
+    raw = [{"text": r.text or "", "bbox": [r.x0, r.y0, r.x1, r.y1], "confidence": r.confidence, "style": {"font": r.font or "", "size": float(r.size or 0), "bold": bool(r.bold)}} for r in rows.itertuples(index=False)]
+    return pd.DataFrame([(doc, page, json.dumps(paragraphs(raw, page)))], columns=["doc_id", "page", "blocks"])
+
+
+def group_lines(rows: DataFrame) -> DataFrame:
+    """doc_id, page, blocks from the text lines of digital pages (doc_id, page, text, x0, y0, x1, y1, confidence, font, size, bold)."""
+    out = rows.groupBy("doc_id", "page").applyInPandas(_lines_to_blocks, "doc_id string, page int, blocks string")
+    return out.select("doc_id", "page", F.from_json("blocks", f"array<{BLOCK}>").alias("blocks"))
+
+
+def role(text: Column, bbox: Column, height: Column) -> Column:
+    """Running heads and feet by their band of the page; what looks like a numbered heading is neither."""
+    numbered = text.rlike(r"(?U)^\s*\d+(?:\.\d+)*\.?\s+\S")
+    band = F.when(bbox["y1"] <= height * fixed.HEADER_BAND, "page_header").when(bbox["y0"] >= height * fixed.FOOTER_BAND, "page_footer")
+    return F.when((height > 0) & ~numbered & band.isNotNull(), band).otherwise("paragraph")
+
+
+def rotated(bbox: Column, rotation: Column, width: Column, height: Column) -> Column:
+    """A box of the unrotated page in the page as shown; width and height are those of the unrotated page."""
+    x0, y0, x1, y1 = (bbox[c] for c in ("x0", "y0", "x1", "y1"))
+    to = {90: (height - y1, x0, height - y0, x1), 180: (width - x1, height - y1, width - x0, height - y0), 270: (y0, width - x1, y1, width - x0)}
+    made = lambda b: F.struct(*[c.cast("double").alias(n) for c, n in zip(b, ("x0", "y0", "x1", "y1"), strict=True)])
+    return F.when(rotation == 90, made(to[90])).when(rotation == 180, made(to[180])).when(rotation == 270, made(to[270])).otherwise(made((x0, y0, x1, y1)))
+
+
+def joined_spans(spans: Column) -> Column:
+    """The text of spans (text, x0, x1) of a line: a blank where there is a gap of more than 1 and none is there yet."""
+    first = F.struct(F.lit("").alias("t"), F.lit(None).cast("double").alias("end"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = (s["x0"] - acc["end"] > 1.0) & ~acc["t"].endswith(" ") & ~s["text"].startswith(" ")
+        return F.struct(F.concat(acc["t"], F.when(F.coalesce(gap, F.lit(False)), " ").otherwise(""), s["text"]).alias("t"), s["x1"].cast("double").alias("end"))
+
+    return F.trim(F.regexp_replace(F.aggregate(spans, first, step, lambda a: a["t"]), r"(?U)\s+", " "))
+
+
+def is_scan(images: Column, fonts: Column, area: Column) -> Column:
+    """A page that is an image: one covers more than half of it, or its text layer has a font without glyphs."""
+    box = lambda b: (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])
+    return F.exists(F.coalesce(images, F.array()), lambda b: box(b) / area > SCAN_AREA) | F.exists(F.coalesce(fonts, F.array()), lambda f: F.contains(F.lower(f), F.lit("glyphless")))
+
+
+def outside_tables(rows: DataFrame, tables: DataFrame) -> DataFrame:
+    """Lines whose centre lies in no table of their page: an anti-join on the page with a test of the box."""
+    at = tables.select(F.col("doc_id").alias("_d"), F.col("page").alias("_p"), F.col("bbox").alias("_b"))
+    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    inside = x.between(F.col("_b.x0"), F.col("_b.x1")) & y.between(F.col("_b.y0"), F.col("_b.y1"))
+    return rows.join(at, (F.col("doc_id") == F.col("_d")) & (F.col("page") == F.col("_p")) & inside, "left_anti")
+
+
+def figure_bands(regions: DataFrame) -> DataFrame:
+    """Stretches of a scanned page without text, of more than six line heights: doc_id, page, y0, y1, confidence."""
+    df = regions.where("trim(coalesce(text, '')) <> ''")
+    unit = df.groupBy("doc_id", "page").agg(F.coalesce(F.median(F.greatest(F.lit(1.0), F.col("y1") - F.col("y0"))), F.lit(1.0)).alias("unit"))
+    df = df.join(unit, ["doc_id", "page"])
+    gaps = sequences.interval_gaps(df, ["doc_id", "page", "unit"], "y0", "y1", F.col("unit") * FIGURE_GAP)
+    return gaps.select("doc_id", "page", F.col("gap_start").alias("y0"), F.col("gap_end").alias("y1"), F.lit(FIGURE_CONFIDENCE).alias("confidence"))
+
+
+def captioned(figures: DataFrame, captions: DataFrame) -> DataFrame:
+    """Adds to figures (doc_id, page, figure_ord, y0, y1) the nearest caption (doc_id, page, caption_ord, text, c0, c1) of the page; overlap counts as nearness 0, ties go to the first."""
+    far = F.greatest(F.lit(0.0), F.col("c0") - F.col("y1"), F.col("y0") - F.col("c1"))
+    near = figures.join(captions, ["doc_id", "page"]).groupBy("doc_id", "page", "figure_ord").agg(F.min_by("text", F.struct(far.alias("far"), "caption_ord")).alias("caption"))
+    return figures.join(near, ["doc_id", "page", "figure_ord"], "left").withColumn("caption", F.coalesce("caption", F.lit("")))
+
+
+def regions_from_json(payload: Column) -> Column:
+    """Boxes from what a recogniser answers: a JSON array of text, bbox and score, scaled to points; without text or coordinates they are left out."""
+    rows = F.from_json(F.when(payload.startswith("["), payload), "array<struct<text: string, x0: string, y0: string, x1: string, y1: string, score: string>>")
+    num = lambda c: c.try_cast("double")
+    made = F.transform(rows, lambda r: F.struct(r["text"].alias("text"), *[(num(r[c]) * SCALE).alias(c) for c in ("x0", "y0", "x1", "y1")], F.coalesce(num(r["score"]), F.lit(1.0)).alias("score")))
+    return F.filter(made, lambda r: (F.trim(F.coalesce(r["text"], F.lit(""))) != "") & r["x0"].isNotNull() & r["y0"].isNotNull() & r["x1"].isNotNull() & r["y1"].isNotNull())
+
+
+def confident(regions: DataFrame, least: float = 0.5) -> DataFrame:
+    return regions.where((F.col("score") >= least) & (F.trim("text") != ""))
+
+

@@ -108,3 +108,24 @@ def _occurs(quotes):
             yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64())], ["item_id", "doc_id"])
 
     return run
+
+
+def hash_embedding(c: Column, size: int = 64) -> Column:
+    """An embedding that needs no model: counts of hashed words by signed slot, of length 1. For tests and offline runs."""
+    words = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\W+"), lambda w: w != "")
+    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(2 * size)))
+    raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (F.size(F.filter(slots, lambda s: s == 2 * i)) - F.size(F.filter(slots, lambda s: s == 2 * i + 1))).cast("double"))
+    return unit(raw)
+
+
+def unit(c: Column) -> Column:
+    """A vector of length 1 as floats; zero stays zero. What a stored index holds."""
+    return F.transform(c, lambda x: (x.cast("double") / (norm(c) + F.lit(1e-9))).cast("float"))
+
+
+def search(vectors: DataFrame | None, kb: DataFrame, query: list[float] | None, text: str, k: int, key: str = "kb_id") -> DataFrame:
+    """The k records nearest to a query, with their scores; a keyword search where there are no vectors."""
+    if vectors is None or query is None or vectors.isEmpty():
+        return keyword_search(kb, text, ["deficiency_text", "product_name", "cmc_section"], key, k)
+    hits = cosine_topk(vectors, query, k, key)
+    return kb.join(F.broadcast(hits), key).orderBy(F.desc("score"), key)
