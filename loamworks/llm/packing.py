@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import insort
@@ -22,7 +23,7 @@ ODD = re.compile("[\x85\xa0\u0130\u0250-\U0010ffff]")
 #: A stop or comma that is part of a longer run of signs, which stays one word.
 RUN = re.compile(r"[.,](?<=[\W_][.,])(?<!\s[.,])\s")
 PLAIN = re.compile(r"[^ \t-\r]+")
-MOST_WORDS = 500_000  # words whose ids a worker remembers
+MOST_WORDS = 900_000  # words whose ids a worker remembers
 
 
 class Encoder:
@@ -33,6 +34,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, whole: bool = False):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already
         from tokenizers import Tokenizer
 
         self.tok, self.whole, self.known = Tokenizer.from_file(path), whole, {}
@@ -50,8 +52,8 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         plain = [w for w in new if w.isalpha()]
-        for i in range(0, len(plain), 4000):
-            part = plain[i : i + 4000]
+        for i in range(0, len(plain), 500):
+            part = plain[i : i + 500]
             ids = np.asarray(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = (np.flatnonzero(self.last[ids]) + 1) * 4
             if len(ends) == len(part):
