@@ -24,9 +24,10 @@ def fallback(said: Column) -> Column:
 
 
 def chosen(answer: Column, said: Column, catalog: list[str]) -> Column:
-    """Of a model's answer the known domains, each once and in its order, eight at most; the fallback if there are none."""
+    """Of a model's answer the known domains, each once and in the answer's order, eight at most; the fallback if there are none."""
     named = F.from_json(F.regexp_extract(F.coalesce(answer, F.lit("")), r"(?s)\[.*\]", 0), "array<string>")
-    known = F.slice(F.array_intersect(F.transform(F.coalesce(named, F.array().cast("array<string>")), F.trim), F.array(*map(F.lit, catalog))), 1, fixed.MOST_DOMAINS)
+    trimmed = F.transform(F.coalesce(named, F.array().cast("array<string>")), lambda d: F.trim(d))
+    known = F.slice(F.array_distinct(F.filter(trimmed, lambda d: d.isin(catalog))), 1, fixed.MOST_DOMAINS)
     return F.when(F.size(known) > 0, known).otherwise(fallback(said))
 
 
