@@ -2,29 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..operators import ranking, retrieval, sequences
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str):
-    """Registers a query under its name, with its SQL."""
-
-    def put(f):
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
-        return f
-
-    return put
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from . import layouts, rules  # noqa: F401  (they register their queries)
+from .registry import QUERIES, SQL, query, read  # noqa: F401
 
 @query(r"""
 WITH t AS (
