@@ -47,7 +47,7 @@ def lines_outside_tables(spark, sf_dir):
 WITH f AS (SELECT p_partkey, p_size, p_partkey % 100 AS page, CAST(p_size * 10 AS DOUBLE) AS y0 FROM part),
 c AS (SELECT s_suppkey, s_name, s_suppkey % 100 AS page, CAST(s_suppkey % 9 * 60 AS DOUBLE) AS c0 FROM supplier),
 n AS (SELECT p_partkey, s_name, row_number() OVER (PARTITION BY p_partkey ORDER BY greatest(0.0, c0 - (y0 + 50), y0 - (c0 + 12)), s_suppkey) AS r FROM f JOIN c USING (page))
-SELECT p_partkey, s_name AS caption FROM f LEFT JOIN (SELECT * FROM n WHERE r = 1) USING (p_partkey)
+SELECT p_partkey, coalesce(s_name, '') AS caption FROM f LEFT JOIN (SELECT * FROM n WHERE r = 1) USING (p_partkey)
 """)
 def nearest_captions(spark, sf_dir):
     y, c = (F.col("p_size") * 10).cast("double"), (F.col("s_suppkey") % 9 * 60).cast("double")
