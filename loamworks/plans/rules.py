@@ -226,6 +226,37 @@ def shown_activity(spark, sf_dir):
     return log.activity(log.subscribe(_log(spark, sf_dir), "11")).groupBy("layer", "event_type").agg(F.count("*").alias("n"))
 
 
+def _stream(spark, sf_dir):
+    """The event log as a stream: of the folder's files only that of the events is read."""
+    schema = read(spark, sf_dir, "events").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    layer = F.when(F.col("event_id") % 3 == 0, "parse").otherwise("detection")
+    done = F.when(F.col("event_type") == "signup", "layer_complete").when((F.col("event_type") == "error") & (F.col("value") > 50), "pipeline_complete").otherwise(F.col("event_type"))
+    return rows.select(F.col("user_id").cast("string").alias("job_id"), layer.alias("layer"), done.alias("event_type"), F.col("event_id").cast("string").alias("message"), F.timestamp_seconds("event_id").alias("at"))
+
+
+_STREAM = """
+e AS (
+  SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN 'parse' ELSE 'detection' END AS layer,
+    CASE WHEN event_type = 'signup' THEN 'layer_complete' WHEN event_type = 'error' AND value > 50 THEN 'pipeline_complete' ELSE event_type END AS event_type FROM events
+)
+"""
+
+
+@query(f"WITH {_STREAM} SELECT CAST(user_id AS VARCHAR) AS job_id, layer, count(*) FILTER (WHERE event_type <> 'layer_complete') AS events, bool_or(event_type = 'layer_complete') AS done FROM e GROUP BY 1, 2")
+def streamed_progress(spark, sf_dir):
+    out = log.drain(log.progress(_stream(spark, sf_dir)), "update")
+    return out.groupBy("job_id", "layer").agg(F.max_by("events", "batch").alias("events"), F.max_by("done", "batch").alias("done"))
+
+
+@query(f"""
+WITH {_STREAM}, c AS (SELECT user_id, min(event_id) AS last FROM e WHERE event_type = 'pipeline_complete' GROUP BY user_id)
+SELECT CAST(e.user_id AS VARCHAR) AS job_id, layer, event_type, CAST(event_id AS VARCHAR) AS message FROM e LEFT JOIN c ON c.user_id = e.user_id WHERE last IS NULL OR event_id <= last
+""")
+def streamed_until_complete(spark, sf_dir):
+    return log.drain(log.until_complete(_stream(spark, sf_dir))).drop("batch")
+
+
 @query("""
 SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '{"turn": ' || turn || '}' WHEN 1 THEN '[' || turn || ']' ELSE 'plain ' || turn END AS blob FROM conversations
 """)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EVENT = "job_id string, layer string, event_type string, agent_name string, message string, metadata map<string, string>, at timestamp"
 LAYERS = ("parse", "detection")
@@ -42,21 +45,43 @@ def activity(events: DataFrame) -> DataFrame:
 def _until_complete(key, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     done = state.exists and state.get[0]
     out = []
-    for part in rows:
-        part = part.sort_values("at", kind="stable")
-        for row in part.itertuples(index=False):
-            if not done:
-                out.append((key[0], row.layer, row.event_type, row.message))
-                done = row.event_type == "pipeline_complete"
+    parts = list(rows)  # Arrow cuts a job's events into parts in no order of time
+    for row in pd.concat(parts).sort_values("at", kind="stable").itertuples(index=False) if parts else ():
+        if not done:
+            out.append((key[0], row.layer, row.event_type, row.message))
+            done = row.event_type == "pipeline_complete"
     state.update((done,))
     yield pd.DataFrame(out, columns=["job_id", "layer", "event_type", "message"])
 
 
 def until_complete(events: DataFrame) -> DataFrame:
-    """Each job's events up to its completion; what comes later is dropped. State: one flag a job."""
+    """Each job's events up to its completion; what comes later is dropped. State: one flag a job.
+
+    A task holds the events that one job has in one micro-batch; sources bound those by files per trigger.
+    """
     return events.groupBy("job_id").applyInPandasWithState(_until_complete, "job_id string, layer string, event_type string, message string", "done boolean", "append", "NoTimeout")
 
 
 def counts_by_window(events: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """An extension: events by job and time window, with a bound on lateness that keeps state small."""
     return events.withWatermark("at", late).groupBy("job_id", F.window("at", width)).agg(F.count("*").alias("n"))
+
+
+def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over all there is, and returns what it wrote with the number of its micro-batch, `batch`.
+
+    Rows and offsets go to a folder that driver and executors share, so a stopped run goes on where
+    it was; a micro-batch that runs again writes its folder anew. Under `update` a key's last row is
+    that of its highest batch.
+    """
+    spark = stream.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loamworks-")
+    root = f"{base}/loamworks/{uuid.uuid4().hex}"
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{root}/rows/batch={batch}")
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).foreachBatch(put).start()
+    query.awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
+    return spark.read.schema(schema).option("basePath", f"{root}/rows").parquet(f"{root}/rows")
