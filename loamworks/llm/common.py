@@ -59,6 +59,12 @@ class Scratch:
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def one_text(docs: DataFrame, pick: DataFrame) -> DataFrame:
+    """The columns of pick (_id, ...; of a bounded size) and `text`: one row a document, however often its doc_id repeats, with the least of its texts."""
+    text = docs.select(F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("text"))
+    return text.join(F.broadcast(pick), F.col("_doc") == F.col("_id")).groupBy(*pick.columns).agg(F.min("text").alias("text"))
+
+
 def buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets (rows + 1) of a string or binary array; nulls have no bytes."""
     if isinstance(arr, pa.ChunkedArray):

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import one_text, table
 from .toxicity import Sparse, _lists, fit
 
 BITS = 18
@@ -87,9 +87,9 @@ def _votes(batches):
 def _traits(batches):
     i, v = pa.list_(pa.int32()), pa.list_(pa.float32())
     for b in batches:
-        texts = b.column(0).to_pylist()
+        texts = b.column(1).to_pylist()
         rows = [traits(t or "") for t in texts]
-        yield pa.RecordBatch.from_arrays([pa.array(["".join(map(str, vote(t or ""))) for t in texts], pa.string()), pa.array([list(r) for r in rows], i), pa.array([list(r.values()) for r in rows], v)], ["votes", "i", "v"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["".join(map(str, vote(t or ""))) for t in texts], pa.string()), pa.array([list(r) for r in rows], i), pa.array([list(r.values()) for r in rows], v)], ["key", "votes", "i", "v"])
 
 
 def em(patterns: dict[str, int], steps: int = 60) -> tuple[dict[str, float], np.ndarray]:
@@ -136,17 +136,18 @@ def quality(docs: DataFrame, max_train: int = 8000) -> DataFrame:
     hashed features is fitted to the posteriors of at most `max_train` documents, those with the
     smallest hash of doc_id, and scores every document.
 
-    Null or empty text: scored as no words. Repeated rows: each gets its row. Null doc_id: scored,
-    never trained on. Empty table: no rows.
+    Null or empty text: scored as no words. Repeated rows: each gets its row, and one of them is
+    trained on. Null doc_id: scored, never trained on. Empty table: no rows.
     """
     spark = docs.sparkSession
     text = docs.select(F.col("text").cast("string").alias("text"))
     patterns = {r[0]: r[1] for r in text.mapInArrow(_votes, "votes string").groupBy("votes").count().collect()}
     good, _ = em(patterns)
-    pick = docs.select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL").distinct().orderBy(F.xxhash64("_id"), "_id").limit(max_train)
-    got = docs.join(F.broadcast(pick), docs["doc_id"] == pick["_id"]).select(docs["text"].cast("string")).mapInArrow(_traits, "votes string, i array<int>, v array<float>").toArrow()
-    y = np.array([good.get(k, 0.5) for k in got.column(0).to_pylist()])
-    w = fit(Sparse(_lists(got.column(1)), _lists(got.column(2))), y, Sparse([], []), l1=1e-5, steps=400)
+    pick = docs.select(F.col("doc_id").cast("long").alias("_id")).where("_id IS NOT NULL").distinct().orderBy(F.xxhash64("_id"), "_id").limit(max_train)
+    got = one_text(docs, pick).mapInArrow(_traits, "key long, votes string, i array<int>, v array<float>").toArrow()
+    got = got.sort_by("key")  # the order of sums, whichever task was first
+    y = np.array([good.get(k, 0.5) for k in got.column(1).to_pylist()])
+    w = fit(Sparse(_lists(got.column(2)), _lists(got.column(3))), y, Sparse([], []), l1=1e-5, steps=400)
     sent = spark.sparkContext.broadcast(w.astype(np.float32))  # 2^BITS + 1 numbers, 1 MB
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scorer(sent), "doc_id long, score double")
     return out.withColumn("kept", F.col("score") >= 0.5)

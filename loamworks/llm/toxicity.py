@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import one_text, table
 
 BITS = 18
 THRESHOLD = 0.3
@@ -71,14 +71,14 @@ def swaps(text: str, groups: tuple[tuple[str, ...], ...]) -> list[dict[int, int]
 
 
 def _examples(groups):
-    """Rows (label, indices, values): a labelled text's features, or with a null label the change that a swap makes."""
-    schema = pa.schema([("label", pa.int32()), ("i", pa.list_(pa.int32())), ("v", pa.list_(pa.float32()))])
+    """Rows (key, label, indices, values): a labelled text's features, or with a null label the change that a swap makes."""
+    schema = pa.schema([("key", pa.int64()), ("label", pa.int32()), ("i", pa.list_(pa.int32())), ("v", pa.list_(pa.float32()))])
 
     def run(batches):
         for b in batches:
-            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for key, label, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 rows = [(label, counts(set((text or "").lower().split())))] + [(None, x) for x in swaps(text or "", groups)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([list(r[1]) for r in rows], schema.field(1).type), pa.array([list(map(float, r[1].values())) for r in rows], schema.field(2).type)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([list(r[1]) for r in rows], schema.field(2).type), pa.array([list(map(float, r[1].values())) for r in rows], schema.field(3).type)], schema=schema)
 
     return run
 
@@ -132,13 +132,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: i
     """Fits on at most `max_train` labelled documents, those with the smallest hash of doc_id.
 
     The bound makes the sample of a size that can be broadcast and gathered. Null labels and null doc_ids are
-    left out; of several labels of a document the largest counts.
+    left out; of several labels of a document the largest counts, of several texts the least.
     """
-    lab = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).where("_id IS NOT NULL AND _label IS NOT NULL")
+    lab = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_label")).where("_id IS NOT NULL AND _label IS NOT NULL")
     pick = lab.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(max_train)
-    rows = docs.join(F.broadcast(pick), docs["doc_id"] == pick["_id"]).select(docs["text"].cast("string"), "_label")
-    got = rows.mapInArrow(_examples(groups), "label int, i array<int>, v array<float>").toArrow()
-    label_, i, v = got.column(0).to_pylist(), *(_lists(got.column(k)) for k in (1, 2))
+    got = one_text(docs, pick).mapInArrow(_examples(groups), "key long, label int, i array<int>, v array<float>").toArrow()
+    got = got.sort_by("key")  # the order of sums, whichever task was first
+    label_, i, v = got.column(1).to_pylist(), *(_lists(got.column(k)) for k in (2, 3))
     own = [k for k, y in enumerate(label_) if y is not None]
     swap = [k for k, y in enumerate(label_) if y is None]
     y = np.array([label_[k] for k in own], float)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamworks.llm import covertree, minhash, mixing, packing, pii, quality, suffix, topk, toxicity, warc
-from loamworks.llm.common import Scratch, components
+from loamworks.llm.common import Scratch, components, one_text
 
 from . import brute
 
@@ -281,6 +281,13 @@ def test_quality(spark):
     assert quality.quality(odd).count() == 4 and quality.quality(odd.limit(0)).count() == 0
 
 
+def test_one_text_of_a_repeated_document(spark):
+    docs = spark.range(0, 3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("you scum").alias("text"), F.lit(1).alias("_id"))
+    docs = docs.unionByName(spark.createDataFrame([(8, "b", 1), (8, "a", 1), (9, None, 1), (None, "c", 1)], "doc_id long, text string, _id int"))
+    pick = spark.createDataFrame([(7, 1), (8, 0), (9, 0), (10, 1)], "_id long, _label int")
+    assert sorted(map(tuple, one_text(docs, pick).collect())) == [(7, 1, "you scum"), (8, 0, "a"), (9, 0, None)]
+
+
 def test_em_finds_accuracies():
     r = np.random.default_rng(4)
     truth, accuracy = r.random(4000) < 0.7, (0.9, 0.8, 0.7, 0.6)
