@@ -316,14 +316,45 @@ t AS (
 SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tier <> 'corroborated', confidence DESC, ord) AS rank FROM s
 """)
 def verified_findings(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    corpus = docs.select("doc_id", text.squeeze(F.col("text")).alias("corpus"))
     quotes = read(spark, sf_dir, "benchmark").where("item_id < 40").select("item_id", F.col("text").alias("evidence"))
+    return _verified(read(spark, sf_dir, "documents"), F.broadcast(quotes), F.col("item_id") == (F.col("doc_id") * 3 + F.col("ord")) % 40)
+
+
+def _verified(docs, quotes, on):
+    """Three findings of each document, with evidence dealt to them by `on`, verified and ranked."""
+    corpus = docs.select("doc_id", text.squeeze(F.col("text")).alias("corpus"))
     three = docs.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("ord"))
     firm = F.col("ord") == 2
-    findings = three.join(F.broadcast(quotes), F.col("item_id") == (F.col("doc_id") * 3 + F.col("ord")) % 40).select(
+    findings = three.join(quotes, on).select(
         "doc_id", "ord", F.concat(F.lit("Finding "), F.col("ord").cast("string")).alias("title"), F.lit("").alias("section"), F.lit("").alias("table_ref"), "evidence",
         F.when(firm, "checklist").otherwise("model_judgment").alias("evidence_class"), F.when(firm, "corroborated").otherwise("advisory").alias("tier"),
         F.lit("medium").alias("severity"), F.lit(0.9).alias("confidence"), F.lit(False).alias("novel"), F.array().cast("array<string>").alias("precedents"),
     )
     return ranking.verify_and_tier(findings, corpus).select("doc_id", "ord", "evidence_class", "tier", "novel", "confidence", F.col("rank").cast("long").alias("rank"))
+
+
+
+def _order(spark, sf_dir):
+    """The whole benchmark with each row's place in it, from 0, and its number of rows."""
+    rows = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("evidence")).orderBy("item_id", "evidence")
+    placed = rows.rdd.zipWithIndex().map(lambda r: (r[1], r[0]["evidence"]))  # parts are counted first, so no task takes all
+    return spark.createDataFrame(placed, "place long, evidence string"), rows.count()
+
+
+@query(rf"""
+WITH b AS (SELECT row_number() OVER (ORDER BY item_id NULLS FIRST, text NULLS FIRST) - 1 AS place, text AS evidence FROM benchmark),
+c AS (SELECT doc_id, {_SQUEEZED.format("text")} AS corpus FROM documents),
+f AS (SELECT doc_id, ord, evidence FROM (SELECT doc_id, i AS ord FROM documents, (VALUES (0), (1), (2)) AS n(i)) JOIN b ON place = (doc_id * 3 + ord) % nullif((SELECT count(*) FROM benchmark), 0)),
+t AS (
+  SELECT f.doc_id, ord, CASE WHEN ord = 2 THEN 'checklist' WHEN len({_SQUEEZED.format("evidence")}) >= 4 AND contains(corpus, {_SQUEEZED.format("evidence")}) THEN 'quote_anchored' ELSE 'model_judgment' END AS evidence_class
+  FROM f JOIN c USING (doc_id)
+), s AS (
+  SELECT doc_id, ord, evidence_class, CASE WHEN ord = 2 THEN 'corroborated' ELSE 'advisory' END AS tier, ord <> 2 AS novel,
+    CASE evidence_class WHEN 'checklist' THEN 0.9 WHEN 'quote_anchored' THEN 0.4 ELSE 0.3 END::DOUBLE AS confidence FROM t
+)
+SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tier <> 'corroborated', confidence DESC, ord) AS rank FROM s
+""")
+def verified_findings_whole(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    quotes, n = _order(spark, sf_dir)
+    return _verified(docs, quotes, F.col("place") == (F.col("doc_id") * 3 + F.col("ord")) % F.lit(n or None).cast("long"))
