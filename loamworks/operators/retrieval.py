@@ -5,7 +5,9 @@ from __future__ import annotations
 from functools import reduce
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,18 +30,74 @@ def cosine_topk(vectors: DataFrame, query: list[float], k: int, key: str = "vec_
     return vectors.where(F.col(vec).isNotNull()).select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def cosine_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """For each of a stated, small set of queries (query_id, query) its k nearest vectors, in one scan of the vectors.
+def cosine_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", shard_rows: int = 16384, block_rows: int = 16384) -> DataFrame:
+    """For each query (query_id, query) its k nearest vectors by cosine, ranked; ties go to the smaller key.
 
-    The queries travel as one row; each vector scores all of them, and a group-limited window keeps k.
+    Vectors are dealt to shards of about `shard_rows` and queries to blocks of about `block_rows`; a
+    pair of shard and block is one task's bounded group and gives k rows a query, of which a
+    group-limited window keeps k. Pairs without a score (lengths differ, or a null component) rank last.
     """
-    packed = queries.agg(F.collect_list(F.struct("query_id", "query")).alias("qs"))
-    rows = vectors.where(F.col(vec).isNotNull()).join(F.broadcast(packed))  # one row
-    rows = rows.select(key, vec, F.explode("qs").alias("q"))
-    score = dot(F.col(vec), F.col("q.query")) / ((norm(F.col(vec)) + F.lit(1e-9)) * (norm(F.col("q.query")) + F.lit(1e-9)))
-    rows = rows.select(F.col("q.query_id").alias("query_id"), key, score.alias("score"))
+    rows = vectors.where(F.col(vec).isNotNull()).select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("v"))
+    asks = queries.where("query IS NOT NULL").select(F.col("query_id").alias("query_id"), F.col("query").cast("array<double>").alias("v"))
+    shards, blocks = max(1, -(-rows.count() // shard_rows)), max(1, -(-asks.count() // block_rows))
+    many = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)))
+    dealt = lambda c: F.pmod(F.xxhash64("v", c), F.lit(shards if c == "key" else blocks)).cast("int")
+    rows = rows.select(dealt("key").alias("shard"), many(blocks).alias("block"), "key", "v")
+    asks = asks.select(many(shards).alias("shard"), dealt("query_id").alias("block"), "query_id", "v")
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, score double"
+    out = rows.groupBy("shard", "block").cogroup(asks.groupBy("shard", "block")).applyInArrow(_nearest(k, key), kinds)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _matrix(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors filled up with zeros, and their lengths; -1 marks a null component."""
+    rows = [v.values for v in column]
+    size = np.array([-1 if v.null_count else len(v) for v in rows])
+    x = np.zeros((len(rows), width))
+    for i in np.flatnonzero(size > 0):
+        x[i, : size[i]] = rows[i].to_numpy()
+    return x, size
+
+
+def _nearest(k: int, key: str, step: int = 256, pairs: int = 1 << 16):
+    """A matrix product finds what can be among the k; those are scored anew, component by component, so that copies tie."""
+
+    def length(x):
+        s = np.zeros(len(x))
+        for d in range(x.shape[1]):
+            s += x[:, d] * x[:, d]
+        return np.sqrt(s) + 1e-9
+
+    def run(t: pa.Table, q: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t, [("key", "ascending")], null_placement="at_start"))  # a row's place says how ties go
+        width = max((pc.max(pc.list_value_length(c.column("v"))).as_py() or 0 for c in (t, q)), default=0)
+        (x, nx), (y, ny) = _matrix(t.column("v"), width), _matrix(q.column("v"), width)
+        lx, ly = length(x), length(y)
+        got = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for at in range(0, len(y) if len(x) else 0, step):
+            s = (y[at : at + step] @ x.T) / (ly[at : at + step, None] * lx)
+            s[np.isnan(s)] = np.inf  # Spark, too, takes NaN for the greatest
+            s[(ny[at : at + step, None] != nx) | (nx < 0)] = -np.inf
+            floor = np.partition(s, -k, axis=1)[:, -k] if len(x) > k else np.full(len(s), -np.inf)
+            i, j = np.nonzero(s >= floor[:, None] - 1e-9)
+            i += at
+            exact = np.zeros(len(i))
+            for a in range(0, len(i), pairs):
+                u, v = x[j[a : a + pairs]], y[i[a : a + pairs]]
+                for d in range(width):
+                    exact[a : a + pairs] += u[:, d] * v[:, d]
+            exact /= lx[j] * ly[i]
+            none = (ny[i] != nx[j]) | (nx[j] < 0)
+            order = np.lexsort((j, np.where(none, np.inf, np.where(np.isnan(exact), -np.inf, -exact)), i))
+            i, j, exact, none = i[order], j[order], exact[order], none[order]
+            best = np.arange(len(i)) - np.searchsorted(i, i) < k
+            got.append((i[best], j[best], np.ma.array(exact[best], mask=none[best])))
+        i, j = (np.concatenate([g[c] for g in got]) for c in (0, 1))
+        score = np.ma.concatenate([g[2] for g in got])
+        return pa.table({"query_id": q.column("query_id").take(pa.array(i)), key: t.column("key").take(pa.array(j)), "score": pa.array(score.data, mask=np.ma.getmaskarray(score))})
+
+    return run
 
 
 def fetch(hits: DataFrame, rows: DataFrame, on: Column) -> DataFrame:

@@ -136,14 +136,16 @@ COSINE = "list_inner_product(a.x, b.x) / ((sqrt(list_inner_product(a.x, a.x)) +
 VECTORS = "v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings WHERE embedding IS NOT NULL)"
 
 
-def first_vector(vectors: DataFrame, vec_id: int) -> list[float]:
-    return vectors.where(F.col("vec_id") == vec_id).select("embedding").first()[0]
+def nearest_to(vectors: DataFrame, vec_id: int, k: int) -> DataFrame:
+    """The k rows nearest to one row's vector; none where that row is missing or has no vector."""
+    own = vectors.where((F.col("vec_id") == vec_id) & F.col("embedding").isNotNull()).select("embedding").first()
+    return retrieval.cosine_topk(vectors, own[0] if own else [], k if own else 0)
 
 
 @query(f"WITH {VECTORS} SELECT a.vec_id, round({COSINE}, 6) AS score FROM v a, v b WHERE b.vec_id = 0 ORDER BY {COSINE} DESC, a.vec_id LIMIT 10")
 def cosine_topk(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings")
-    return retrieval.cosine_topk(vectors, first_vector(vectors, 0), 10).withColumn("score", F.round("score", 6))
+    return nearest_to(vectors, 0, 10).withColumn("score", F.round("score", 6))
 
 
 @query(f"""
@@ -153,18 +155,31 @@ SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 3
 """)
 def cosine_topk_batch(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings")
-    queries = vectors.where("vec_id < 8 AND embedding IS NOT NULL").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    out = retrieval.cosine_topk_batch(vectors, queries, 3)
+    return batch_topk(vectors, vectors.where("vec_id < 8"))
+
+
+def batch_topk(vectors: DataFrame, asked: DataFrame) -> DataFrame:
+    out = retrieval.cosine_topk_batch(vectors, asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 3)
     return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"""
+WITH {VECTORS}, s AS (SELECT b.vec_id AS query_id, a.vec_id, {COSINE} AS score FROM v a, v b),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 3
+""")
+def cosine_topk_whole(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings")
+    return batch_topk(vectors, vectors)
+
+
 @query(f"""
 WITH {VECTORS}, t AS (SELECT a.vec_id, {COSINE} AS score FROM v a, v b WHERE b.vec_id = 0 ORDER BY {COSINE} DESC, a.vec_id LIMIT 10)
 SELECT vec_id, round(score, 6) AS score, lang, source, n_chars FROM t JOIN documents ON doc_id = vec_id
 """)
 def topk_join(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings")
-    hits = retrieval.cosine_topk(vectors, first_vector(vectors, 0), 10)
+    hits = nearest_to(vectors, 0, 10)
     out = retrieval.fetch(hits, read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), F.col("doc_id") == F.col("vec_id"))
     return out.select("vec_id", F.round("score", 6).alias("score"), "lang", "source", "n_chars")
 
