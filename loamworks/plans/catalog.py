@@ -220,16 +220,33 @@ m AS (
 SELECT num, block_idx FROM m WHERE r = 1
 """)
 def heading_match(spark, sf_dir):
-    part = read(spark, sf_dir, "part")
+    return _heading_match(read(spark, sf_dir, "part"), "p_partkey % 7 = 0")
+
+
+def _heading_match(part, entry):
     num = F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 10).cast("string"))
     page = F.floor(F.col("p_partkey") / 50)
     blocks = part.select(F.col("p_partkey").alias("block_idx"), F.concat(num, F.lit(" "), F.col("p_name")).alias("txt"), page.alias("page"))
-    entries = part.where("p_partkey % 7 = 0").select(num.alias("num"), page.alias("page"), F.col("p_partkey").alias("toc_ord"))
+    entries = part.where(entry).select(num.alias("num"), page.alias("page"), F.col("p_partkey").alias("toc_ord"))
     from ..operators.sections import match_headings
 
     return match_headings(entries, blocks, []).select("num", "block_idx")
 
 
+@query(r"""
+WITH b AS (SELECT p_partkey AS block_idx, p_size || '.' || (p_partkey % 10) || ' ' || p_name AS txt, CAST(p_partkey // 50 AS BIGINT) AS page FROM part),
+t AS (SELECT p_size || '.' || (p_partkey % 10) AS num, CAST(p_partkey // 50 AS BIGINT) AS page, p_partkey AS toc_ord FROM part),
+c AS (SELECT num, toc_ord, page + d AS page, pref FROM t, (VALUES (0, 0), (1, 1), (-1, 2)) AS x(d, pref)),
+m AS (
+  SELECT c.num, b.block_idx, row_number() OVER (PARTITION BY c.num ORDER BY c.toc_ord, c.pref, b.block_idx) AS r
+  FROM c JOIN b ON b.page = c.page AND starts_with(ltrim(b.txt), c.num) AND regexp_matches(b.txt, '^\s*' || regexp_escape(c.num) || '\.?(?:[^\d.]|$)')
+)
+SELECT num, block_idx FROM m WHERE r = 1
+""")
+def heading_match_whole(spark, sf_dir):
+    return _heading_match(read(spark, sf_dir, "part"), "true")
+
+
 @query("""
 WITH f AS (
   SELECT event_id, user_id,

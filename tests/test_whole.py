@@ -70,3 +70,9 @@ def test_search_without_first_vector(spark, tmp_path):
     put(spark, tmp_path, "documents", [(7, "en", "web", 1)], "doc_id long, lang string, source string, n_chars long")
     assert same(spark, tmp_path, "cosine_topk") == []
     assert same(spark, tmp_path, "topk_join") == []
+
+
+def test_headings_of_all_parts(spark, tmp_path):
+    put(spark, tmp_path, "part", [(i, 1 + i // 10 % 6, f"p{i}") for i in range(1, 300) if i % 7], "p_partkey long, p_size long, p_name string")
+    got = same(spark, tmp_path, "heading_match_whole")
+    assert len(got) == 60  # every number, though no part is divisible by 7
