@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, by_group, components, mix, prefix_hash, slices, span_hash, table, word_bounds
@@ -211,13 +211,22 @@ def _near_pivot(percent: int):
     return run
 
 
+def _identities(batches):
+    """Adds n, h1 and h2, which name the class of a row, to rows whose last column is the text."""
+    for b in batches:
+        n, h1, h2 = [], [], []
+        for s in shingle_sets(b.column(b.num_columns - 1)):
+            n.append(len(s))
+            x, y = identity(s)
+            h1.append(x)
+            h2.append(y)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], [*b.schema.names, "n", "h1", "h2"])
+
+
 def _sets(batches):
-    """Full sets of the documents that have candidates; other texts with the same doc_id are left out."""
+    """Full sets of the classes that have candidates."""
     for b in batches:
-        out = []
-        for k, s in enumerate(shingle_sets(b.column(1))):
-            if identity(s) == (b.column(3)[k].as_py(), b.column(4)[k].as_py()):
-                out.append((b.column(2)[k].as_py(), b.column(0)[k].as_py(), s.tobytes(), sketch(s).tobytes()))
+        out = [(b.column(2)[k].as_py(), b.column(0)[k].as_py(), s.tobytes(), sketch(s).tobytes()) for k, s in enumerate(shingle_sets(b.column(1)))]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["cluster", "rep", "s", "sig"])
 
 
@@ -287,19 +296,31 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, trees:
     not capped: the former branches on, the latter is compared in blocks.
 
     Null text, or a text without words: an empty set, linked with nothing. One to four words: the
-    sequence is the only shingle. Null doc_id: a component of its own unless its set equals
-    another's; kept is null. Repeated rows: equal sets, one component; each row with the smallest
-    doc_id is kept. Very long texts: whole. Empty table: no rows. Other columns are not read.
+    sequence is the only shingle. Null doc_id: searched as any other; its component is named by the
+    smallest doc_id in it, null if there is none; kept is null. Repeated rows: equal sets, one
+    component; each row with the smallest doc_id is kept. Different texts of a doc_id: classes of
+    their own. Very long texts: whole. Empty table: no rows. Other columns are not read.
     """
+    rows, known = _classes(docs, scratch, percent, trees, node_rows, cluster_rows)
+    out = rows.select("doc_id", "n", "h1", "h2").join(known.select("n", "h1", "h2", "component"), ["n", "h1", "h2"], "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def _classes(docs: DataFrame, scratch: Scratch, percent: int = 80, trees: int = 10, node_rows: int = 20_000, cluster_rows: int = 2_000) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, h1, h2, sig), and their classes (n, h1, h2, root, component): linked ones share a root and the smallest doc_id."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = scratch.cut(text.mapInArrow(_sketches, "doc_id long, n long, h1 long, h2 long, sig binary"), "sketches")
-    reps = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig"))
-    reps = scratch.cut(reps, "classes")
+    reps = rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("low"), F.any_value("sig").alias("sig"))
+    reps = scratch.cut(reps.withColumn("rep", F.monotonically_increasing_id()), "classes")
     pairs = candidates(reps, scratch, percent, trees, node_rows)
     clusters = scratch.cut(components(scratch, pairs).select(F.col("v").alias("rep"), F.col("root").alias("cluster")), "clusters")
-    wanted = clusters.join(reps.select("rep", "h1", "h2"), "rep")
-    full = text.join(wanted, text["doc_id"] == wanted["rep"]).select("rep", "text", "cluster", "h1", "h2")
-    full = full.mapInArrow(_sets, "cluster long, rep long, s binary, sig binary")
+    wanted = scratch.cut(clusters.join(reps.select("rep", "n", "h1", "h2", "low"), "rep"), "wanted")
+    named = text.join(wanted.where("low IS NOT NULL").select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    named = named.mapInArrow(_identities, "doc_id long, text string, n long, h1 long, h2 long").withColumnRenamed("doc_id", "low").join(wanted, ["n", "h1", "h2", "low"])
+    nameless = text.where("doc_id IS NULL").select("text").mapInArrow(_identities, "text string, n long, h1 long, h2 long").groupBy("n", "h1", "h2").agg(F.min("text").alias("text"))
+    nameless = nameless.join(wanted.where("low IS NULL"), ["n", "h1", "h2"])
+    full = named.select("rep", "text", "cluster").unionByName(nameless.select("rep", "text", "cluster")).mapInArrow(_sets, "cluster long, rep long, s binary, sig binary")
     size = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
     full = scratch.cut(full.join(size, "cluster"), "sets")
     roots = by_group(full.where(F.col("size") <= cluster_rows), ["cluster"], _confirm(percent), "rep long, root long")
@@ -307,11 +328,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, trees:
     if not size.where(F.col("size") > cluster_rows).isEmpty():
         more = components(scratch, _large(large.dropDuplicates(["cluster", "rep"]), scratch, percent))
         roots = roots.unionByName(more.where("v <> root").select(F.col("v").alias("rep"), "root"))
-    known = reps.select("n", "h1", "h2", "rep").join(roots, "rep", "left")
-    known = known.select("n", "h1", "h2", F.coalesce("root", "rep").alias("component"))
-    out = rows.select("doc_id", "n", "h1", "h2").join(known, ["n", "h1", "h2"], "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    known = reps.select("n", "h1", "h2", "rep", "low").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    known = scratch.cut(known.select("n", "h1", "h2", "root", "low"), "known")
+    named_by = known.groupBy("root").agg(F.min("low").alias("component"))
+    return rows, known.select("n", "h1", "h2", "root").join(named_by, "root")
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,8 +341,28 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deduplicate(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
     """The documents, all their columns kept, without near duplicates: of each component the smallest doc_id stays.
 
-    Of rows with equal doc_id and text one stays. Rows without a doc_id, which nothing can name, all stay.
+    Of rows with equal doc_id and text one stays. Rows without a doc_id go where their component has one;
+    of a component that has none one row stays. Without words, and so linked with nothing, all of them stay.
     """
-    kept = scratch.cut(near_duplicates(docs, scratch, **how).where("kept").select("doc_id").distinct(), "kept")
-    once = docs.join(kept, docs["doc_id"].cast("long") == kept["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(docs.where("doc_id IS NULL"))
+    rows, known = _classes(docs, scratch, **how)
+    known = scratch.cut(known, "components")
+    same = ["n", "h1", "h2"]
+    named = rows.where("doc_id IS NOT NULL").join(known, same, "left").select("doc_id", *same, (F.col("n").eqNullSafe(0) | F.col("doc_id").eqNullSafe(F.col("component"))).alias("keep"))
+    kept = named.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or("keep").alias("_any"), F.bool_and("keep").alias("_all")).where("_any")
+    kept = scratch.cut(kept, "kept")
+    have = docs.join(kept, docs["doc_id"].cast("long") == kept["_id"])
+    once = have.where("_all").select(*docs.columns)
+    # Of a doc_id with several texts some may go: only such rows are looked at again.
+    if not kept.where("NOT _all").isEmpty():
+        some = have.where("NOT _all").select(F.struct(*docs.columns).alias("_row"), "_id", F.col("text").cast("string").alias("_text"))
+        some = some.mapInArrow(_identities, f"_row {some.schema['_row'].dataType.simpleString()}, _id long, _text string, n long, h1 long, h2 long")
+        stay = named.where("keep").select(F.col("doc_id").alias("_id"), *same).distinct()
+        once = once.unionByName(some.join(stay, ["_id", *same], "left_semi").select("_row.*"))
+    once = once.dropDuplicates(["doc_id", "text"])
+    first = known.where("component IS NULL").groupBy("root").agg(F.min(F.struct(*same)).alias("f")).select(*[F.col(f"f.{c}").alias(f"_{c}") for c in same])
+    null = docs.where("doc_id IS NULL").select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("_text"))
+    null = null.mapInArrow(_identities, f"_row {null.schema['_row'].dataType.simpleString()}, _text string, n long, h1 long, h2 long")
+    one = null.join(first, [F.col(c) == F.col(f"_{c}") for c in same], "left_semi")
+    # A group-limited window: before the shuffle each task keeps one row a class, however many copies there are.
+    one = one.withColumn("_r", F.row_number().over(Window.partitionBy(*same).orderBy("_text"))).where("_r = 1")
+    return once.unionByName(null.where("n = 0").select("_row.*")).unionByName(one.select("_row.*"))
