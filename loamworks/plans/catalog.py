@@ -359,6 +359,12 @@ def event_isolation(spark, sf_dir):
     return df.groupBy("event_type").agg(F.count("*").alias("n"), F.bool_or(F.col("value") > 100).alias("done"))
 
 
+@query("SELECT user_id, event_type, count(*) AS n, bool_or(value > 100) AS done FROM events WHERE event_type <> 'error' GROUP BY user_id, event_type")
+def event_isolation_whole(spark, sf_dir):
+    df = read(spark, sf_dir, "events").where("event_type <> 'error'")
+    return df.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.bool_or(F.col("value") > 100).alias("done"))
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))

@@ -226,6 +226,11 @@ def shown_activity(spark, sf_dir):
     return log.activity(log.subscribe(_log(spark, sf_dir), "11")).groupBy("layer", "event_type").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {_EVENTS} SELECT CAST(user_id AS VARCHAR) AS job_id, layer, event_type, count(*) AS n FROM e WHERE event_type <> 'layer_complete' GROUP BY 1, 2, 3")
+def shown_activity_whole(spark, sf_dir):
+    return log.activity(_log(spark, sf_dir)).groupBy("job_id", "layer", "event_type").agg(F.count("*").alias("n"))
+
+
 def _stream(spark, sf_dir):
     """The event log as a stream: of the folder's files only that of the events is read."""
     schema = read(spark, sf_dir, "events").schema

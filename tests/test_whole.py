@@ -76,3 +76,10 @@ def test_headings_of_all_parts(spark, tmp_path):
     put(spark, tmp_path, "part", [(i, 1 + i // 10 % 6, f"p{i}") for i in range(1, 300) if i % 7], "p_partkey long, p_size long, p_name string")
     got = same(spark, tmp_path, "heading_match_whole")
     assert len(got) == 60  # every number, though no part is divisible by 7
+
+
+def test_activity_of_all_jobs(spark, tmp_path):
+    kinds = ["signup", "view", "purchase", "error"]
+    put(spark, tmp_path, "events", [(i, 100 + i % 6, kinds[i % 4], float(i * 3)) for i in range(120)], "event_id long, user_id long, event_type string, value double")
+    assert {r.job_id for r in same(spark, tmp_path, "shown_activity_whole")} == {str(100 + i) for i in range(6)}
+    assert {r.user_id for r in same(spark, tmp_path, "event_isolation_whole")} == set(range(100, 106))
