@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
 from functools import lru_cache
 
@@ -221,6 +222,12 @@ def _clean(weights, place: int, threshold: float):
 
 
 def reject(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, all their columns kept, that score below the threshold."""
+    """The documents, all their columns kept, that score below the threshold.
+
+    A model without a weight for any word, as of no labelled row, tells no text from another: all documents stay.
+    """
+    if not weights[:-1].any():
+        warnings.warn("no labelled row to learn toxicity from: every document is kept", stacklevel=2)
+        return docs
     sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
     return docs.mapInArrow(_clean(sent, docs.columns.index("text"), threshold), docs.schema)

@@ -1,5 +1,6 @@
-"""Rows without a doc_id, and doc_ids with several texts."""
+"""Rows without a doc_id, doc_ids with several texts, and stages without labels."""
 
+import corpus_pipeline
 import pytest
 
 from loamworks.llm import minhash
@@ -36,3 +37,11 @@ def test_two_texts_of_one_id(spark):
     assert got == {(5, 5, True), (6, 5, False), (8, 5, False), (2, 2, True), (5, 2, False)}
     left = {(r.doc_id, r.text) for r in minhash.deduplicate(frame(spark, rows), Scratch(spark)).collect()}
     assert left == {(5, near("a")), (5, near("b")), (2, near("c"))}
+
+
+@pytest.mark.parametrize("labels", [[], [(2, 1)], [(0, None)]])  # doc_id 2 has no text here
+def test_no_labels_keep_all(spark, tmp_path, labels):
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = frame(spark, [(0, "a clean text"), (1, None), (None, "another")])
+    with pytest.warns(UserWarning, match="every document is kept"):
+        assert corpus_pipeline.toxic(spark, docs, str(tmp_path)).count() == 3
