@@ -224,10 +224,12 @@ def _identities(batches):
 
 
 def _sets(batches):
-    """Full sets of the classes that have candidates."""
+    """Full sets of texts, and what names their class: (low, n, h1, h2, s)."""
     for b in batches:
-        out = [(b.column(2)[k].as_py(), b.column(0)[k].as_py(), s.tobytes(), sketch(s).tobytes()) for k, s in enumerate(shingle_sets(b.column(1)))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["cluster", "rep", "s", "sig"])
+        out = []
+        for k, s in enumerate(shingle_sets(b.column(1))):
+            out.append((b.column(0)[k].as_py(), len(s), *identity(s), s.tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (*[pa.int64()] * 4, pa.binary()), strict=True)], ["low", "n", "h1", "h2", "s"])
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -315,12 +317,12 @@ def _classes(docs: DataFrame, scratch: Scratch, percent: int = 80, trees: int =
     reps = scratch.cut(reps.withColumn("rep", F.monotonically_increasing_id()), "classes")
     pairs = candidates(reps, scratch, percent, trees, node_rows)
     clusters = scratch.cut(components(scratch, pairs).select(F.col("v").alias("rep"), F.col("root").alias("cluster")), "clusters")
-    wanted = scratch.cut(clusters.join(reps.select("rep", "n", "h1", "h2", "low"), "rep"), "wanted")
-    named = text.join(wanted.where("low IS NOT NULL").select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    named = named.mapInArrow(_identities, "doc_id long, text string, n long, h1 long, h2 long").withColumnRenamed("doc_id", "low").join(wanted, ["n", "h1", "h2", "low"])
-    nameless = text.where("doc_id IS NULL").select("text").mapInArrow(_identities, "text string, n long, h1 long, h2 long").groupBy("n", "h1", "h2").agg(F.min("text").alias("text"))
-    nameless = nameless.join(wanted.where("low IS NULL"), ["n", "h1", "h2"])
-    full = named.select("rep", "text", "cluster").unionByName(nameless.select("rep", "text", "cluster")).mapInArrow(_sets, "cluster long, rep long, s binary, sig binary")
+    wanted = clusters.join(reps, "rep")
+    by, sets = ["n", "h1", "h2"], "low long, n long, h1 long, h2 long, s binary"
+    named = text.join(wanted.where("low IS NOT NULL").select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, sets)
+    named = named.join(wanted, [*by, "low"]).select("cluster", "rep", "s", "sig")
+    nameless = text.where("doc_id IS NULL").select("doc_id", "text").mapInArrow(_sets, sets).groupBy(*by).agg(F.any_value("s").alias("s"))
+    full = named.unionByName(nameless.join(wanted.where("low IS NULL"), by).select("cluster", "rep", "s", "sig"))
     size = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
     full = scratch.cut(full.join(size, "cluster"), "sets")
     roots = by_group(full.where(F.col("size") <= cluster_rows), ["cluster"], _confirm(percent), "rep long, root long")
