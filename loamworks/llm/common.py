@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,22 +26,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="loamworks-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Unset, it is a temporary folder of this machine where driver and executors are one process, as in tests;
+    a cluster without the setting is refused, for its executors would not see each other's files.
+    """
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"spark.checkpoint.dir has to name a folder that driver and executors of {master or 'the cluster'} share")
+    return _own_dir()
+
+
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    path = tempfile.mkdtemp(prefix="loamworks-")
+    atexit.register(shutil.rmtree, path, True)
+    return f"file://{path}"
 
 
 class Scratch:
-    """Intermediate tables in the shared folder. They cut lineage and outlive a lost executor."""
+    """Intermediate tables in the shared folder. They cut lineage and outlive a lost executor.
+
+    As a context it removes its tables at the end, which is for results that are written inside
+    it; a lazy result still reads them, so its caller keeps the Scratch and calls `close` afterwards.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/loamworks/{uuid.uuid4().hex}"
         self._n = 0
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        self._remove(self.root)
+
     def path(self, name: str = "t") -> str:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
@@ -55,14 +83,34 @@ class Scratch:
         """Removes tables that nothing reads any more."""
         for df in dfs:
             if path := getattr(df, "_scratch_path", None):
-                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                self._remove(path)
+
+    def _remove(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Bytes of text that a model is fitted on at most; what a driver gathers is a few times that.
+MOST_BYTES = 128 << 20
 
 
-def one_text(docs: DataFrame, pick: DataFrame) -> DataFrame:
-    """The columns of pick (_id, ...; of a bounded size) and `text`: one row a document, however often its doc_id repeats, with the least of its texts."""
+def one_text(docs: DataFrame, pick: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """The columns of pick (_id, ...; of a bounded size) and `text`: one row a document, however often its doc_id repeats, with the least of its texts.
+
+    Documents are taken in the order of a hash of their id while all texts taken have `most_bytes` at most; one
+    that does not fit is passed over. Only ids and lengths of `pick` reach the driver for that.
+    """
     text = docs.select(F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("text"))
-    return text.join(F.broadcast(pick), F.col("_doc") == F.col("_id")).groupBy(*pick.columns).agg(F.min("text").alias("text"))
+    out = text.join(F.broadcast(pick), F.col("_doc") == F.col("_id")).groupBy(*pick.columns).agg(F.min("text").alias("text"))
+    sizes = out.select("_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), F.xxhash64("_id").alias("h")).collect()
+    if sum(r["n"] for r in sizes) <= most_bytes:
+        return out
+    left, fit = most_bytes, []
+    for r in sorted(sizes, key=lambda r: (r["h"], r["_id"])):
+        if r["n"] <= left:
+            left -= r["n"]
+            fit.append((r["_id"],))
+    return out.join(F.broadcast(docs.sparkSession.createDataFrame(fit, "_id long")), "_id", "left_semi")
 
 
 def buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import MOST_BYTES, one_text, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -93,21 +93,46 @@ def features(core: str) -> np.ndarray:
     return np.array(row, np.float32)
 
 
+LEAST_DIGITS, LEAST_NAME = 7, 4
+
+
+def telling(name: str) -> bool:
+    """Whether what is before an @ can stand for its address alone: no plain word, and not too short."""
+    return len(name) >= LEAST_NAME and not name.isalpha()
+
+
+def keys(core: str) -> set[tuple[str, str]]:
+    """What nodes that are alike share: the whole token, its last digits, or what is before its @. Short numbers, such as years, are like nothing."""
+    low, digits = core.lower(), DIGITS.sub("", core)
+    out = set()
+    if "@" in low or len(digits) >= LEAST_DIGITS or low.count(".") == 3 and len(digits) >= 4:
+        out.add(("t", low))
+    if len(digits) >= LEAST_DIGITS:
+        out.add(("d", digits[-LEAST_DIGITS:]))
+    if telling(name := low.partition("@")[0]) and not name.replace(".", "").isdigit():
+        out.add(("n", name))
+    return out
+
+
 class Graph:
     """The nodes and edges of one document.
 
     A node is a token that holds four digits or an @, lies in a pattern's span, or repeats what is
-    before the @ of an address. Neighbours in the text are linked, and so are successive nodes
-    that are alike: equal but for case and edge signs, equal in seven digits or more, or
+    before the @ of an address. Neighbours in the text are linked, and so are successive nodes that are
+    alike, however far apart: equal but for case and edge signs, equal in their last seven digits, or
     an address and what is before its @. All other tokens are clamped to `other`.
+
+    `y` is the label that a pattern gives, 0 without one. `open` marks nodes without a pattern whom
+    links connect with one that has: what they are is not known, and nothing is learned as if it were.
     """
 
     def __init__(self, text: str, base: list[tuple[int, int, int]]):
         names = {text[s:e].partition("@")[0].lower() for k, s, e in base if k == 0}
-        names = {x for x in names if len(x) >= 4}
-        self.span, self.x, self.y, self.chain, self.skip = [], [], [], [], []
+        names = {x for x in names if telling(x)}
+        self.span, self.x, self.y, self.chain, self.skip, self.core = [], [], [], [], [], []
         by_start = sorted((s, e, k) for k, s, e in base)
         at, last, seen = 0, -9, {}
+        group: list[int] = []  # roots of what links connect
         for n, m in enumerate(TOKEN.finditer(text)):
             while at < len(by_start) and by_start[at][1] <= m.start():
                 at += 1
@@ -120,21 +145,58 @@ class Graph:
             core = token.strip(EDGE)
             i = len(self.span)
             self.span.append((m.start() + left, m.start() + left + len(core)))
+            self.core.append(core)
             self.x.append(features(core))
             self.y.append(0 if hit is None else hit + 1)
+            group.append(i)
             if last == n - 1:
                 self.chain.append((i - 1, i))
             last = n
-            low, digits = core.lower(), DIGITS.sub("", core)
-            keys = {("t", low)} if low else set()
-            if len(digits) >= 7:
-                keys.add(("d", digits))
-            if len(name := low.partition("@")[0]) >= 4:
-                keys.add(("n", name))
-            for key in keys:
-                if key in seen and (seen[key], i) not in self.skip[-len(keys) :]:
-                    self.skip.append((seen[key], i))
+            for j in sorted({seen[key] for key in keys(core) if key in seen}):
+                self.skip.append((j, i))
+                a, b = _top(group, i), _top(group, j)
+                group[max(a, b)] = min(a, b)
+            for key in keys(core):
                 seen[key] = i
+        tops = [_top(group, i) for i in range(len(group))]
+        sure = {t for t, y in zip(tops, self.y, strict=True) if y}
+        self.open = [not y and t in sure for t, y in zip(tops, self.y, strict=True)]
+
+
+def _top(group: list[int], i: int) -> int:
+    while group[i] != i:
+        group[i] = group[group[i]]
+        i = group[i]
+    return i
+
+
+def mentions(core: str, kind: int) -> list[str]:
+    """How a text may repeat an entity so that no pattern finds it."""
+    digits = DIGITS.sub("", core)
+    if kind == 0:
+        ways = [core.partition("@")[0], core.partition("@")[0].upper(), core.replace("@", "(at)")]
+    elif kind == 1:
+        ways = [core.replace(".", "-"), core.replace(".", "[.]"), core.replace(".", "_")]
+    else:
+        ways = [digits, digits[-LEAST_DIGITS:], f"{digits[:-4]}-{digits[-4:]}", ".".join(digits[i : i + 4] for i in range(0, len(digits), 4)), f"no{digits[-10:]}"]
+    own = keys(core)
+    return [w for w in dict.fromkeys(ways) if w != core and keys(w) & own and not base_spans(w)]
+
+
+def rehearsal(g: Graph) -> tuple[np.ndarray, ...] | None:
+    """The document's graph for training, with mentions that no pattern finds.
+
+    Each form in which a pattern's token might be repeated is added twice: linked with the token, under its
+    label, and alone, as `other`. What a mention looks like then says nothing of its label, and only the
+    link tells. Labels: -1 for open nodes.
+    """
+    x, y, skip = list(g.x), [-1 if o else k for k, o in zip(g.y, g.open, strict=True)], list(g.skip)
+    for i, k in enumerate(g.y):
+        for way in mentions(g.core[i], k - 1) if k else ():
+            skip.append((i, len(y)))
+            x += [features(way)] * 2
+            y += [k, 0]
+    return (np.stack(x), np.array(y, np.int64), _pairs(g.chain), _pairs(skip)) if y else None
 
 
 def _pairs(rows: list) -> np.ndarray:
@@ -147,24 +209,31 @@ class Model:
     def __init__(self):
         self.u, self.chain, self.skip = np.zeros((FEATURES, K)), np.zeros((K, K)), np.zeros((K, K))
 
-    def fit(self, graphs: list[tuple], steps: int = 250, rate: float = 0.1, l2: float = 1e-3) -> Model:
-        """Maximises the pseudo-likelihood: each node's label given its features and its neighbours' labels."""
+    def fit(self, graphs: list[tuple], steps: int = 400, rate: float = 0.1, l2: float = 1e-4, every: int = 100) -> Model:
+        """Maximises the pseudo-likelihood: each node's label given its features and its neighbours' labels.
+
+        Labels of -1 are latent: at first such nodes say nothing, and are asked nothing; every `every` steps
+        they take the labels that the field expects of them.
+        """
         x, y, chain, skip = join(graphs)
         if not len(y):
             return self
-        one = np.eye(K)[y]
-        near, after, like = np.zeros((len(y), K)), np.zeros((len(y), K)), np.zeros((len(y), K))
-        np.add.at(near, chain[:, 1], one[chain[:, 0]])
-        np.add.at(after, chain[:, 0], one[chain[:, 1]])
-        np.add.at(like, skip[:, 0], one[skip[:, 1]])
-        np.add.at(like, skip[:, 1], one[skip[:, 0]])
-        params = [self.u, self.chain, self.skip]
+        one, latent = np.eye(K)[np.maximum(y, 0)], y < 0
+        one[latent] = 0
+        asked = np.where(latent, 0.0, 1.0)
+        params, p = [self.u, self.chain, self.skip], one
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         for t in range(1, steps + 1):
-            z = x @ self.u + near @ self.chain + after @ self.chain.T + like @ self.skip
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            d = (p - one) / len(y)
+            if t % every == 1:
+                if t > 1:
+                    one[latent], asked[latent] = p[latent], 1.0  # as the step before expects
+                near, after, like = np.zeros((len(y), K)), np.zeros((len(y), K)), np.zeros((len(y), K))
+                np.add.at(near, chain[:, 1], one[chain[:, 0]])
+                np.add.at(after, chain[:, 0], one[chain[:, 1]])
+                np.add.at(like, skip[:, 0], one[skip[:, 1]])
+                np.add.at(like, skip[:, 1], one[skip[:, 0]])
+            p = _soft(x @ self.u + near @ self.chain + after @ self.chain.T + like @ self.skip)
+            d = (p - one) * asked[:, None] / asked.sum()
             grads = [x.T @ d, near.T @ d + (after.T @ d).T, like.T @ d]
             for k, g in enumerate(grads):
                 g = g + l2 * params[k]
@@ -228,18 +297,23 @@ def graph(text: str, base) -> tuple[Graph, tuple] | None:
 
 def _graphs(batches):
     for b in batches:
-        out = []
-        for text in b.column(0).to_pylist():
+        keys_, out = [], []
+        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             if text and (got := graph(text, base_spans(text))):
-                out.append(pickle.dumps(got[1]))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["graph"])
+                keys_.append(key)
+                out.append(pickle.dumps(rehearsal(got[0])))
+        yield pa.RecordBatch.from_arrays([pa.array(keys_, pa.int64()), pa.array(out, pa.binary())], ["key", "graph"])
 
 
-def train(docs: DataFrame, max_train: int = 3000) -> Model:
-    """Fits the field to what the patterns find in at most `max_train` documents, those with the smallest hash of doc_id."""
-    pick = docs.select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL").distinct().orderBy(F.xxhash64("_id"), "_id").limit(max_train)
-    rows = docs.join(F.broadcast(pick), docs["doc_id"] == pick["_id"]).select(docs["text"].cast("string")).mapInArrow(_graphs, "graph binary")
-    return Model().fit([pickle.loads(x) for x in rows.toArrow().column(0).to_pylist()])  # bytes that our own tasks wrote
+def train(docs: DataFrame, max_train: int = 3000, most_bytes: int = MOST_BYTES) -> Model:
+    """Fits the field to what the patterns find in at most `max_train` documents, those with the smallest hash of doc_id.
+
+    One text a document, however often its id repeats, and at most `most_bytes` of text together: that
+    bounds what the driver gathers, about 100 bytes a node. The sums are taken in the order of doc_id.
+    """
+    pick = docs.select(F.col("doc_id").cast("long").alias("_id")).where("_id IS NOT NULL").distinct().orderBy(F.xxhash64("_id"), "_id").limit(max_train)
+    rows = one_text(docs, pick, most_bytes).mapInArrow(_graphs, "key long, graph binary").toArrow().sort_by("key")
+    return Model().fit([pickle.loads(x) for x in rows.column(1).to_pylist()])  # bytes that our own tasks wrote
 
 
 def find(texts: list[str | None], model: Model, least: float = 0.9):
@@ -286,7 +360,7 @@ def detect(docs: DataFrame, model: Model | None = None, least: float = 0.9, **ho
     document only, over its whole text, for a few hundred documents at a time.
 
     Null or empty text: no spans. Very long texts: whole; work is linear in the text. Repeated rows:
-    each gets its row. Null doc_id: kept. Empty table: no rows. Other columns are not read.
+    each gets its row, one of them is trained on. Null doc_id: kept. Empty table: no rows. Other columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model or train(docs, **how))  # a few hundred numbers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -317,7 +391,11 @@ def _redact(model, least: float, place: int, rows: int = 256):
 
 
 def redact(docs: DataFrame, model: Model | None = None, least: float = 0.9, **how) -> DataFrame:
-    """The documents, all their columns kept, with personal data in `text` replaced by <KIND>. Null text: null."""
+    """The documents, all their columns kept, with personal data in `text` replaced by <KIND>, both what patterns find and what the field adds.
+
+    Null text: null. Empty text: empty. Very long texts: whole. Repeated rows: alike, each by itself. Null
+    doc_id: kept. Empty table: no rows. Other columns pass through, whatever their names.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model or train(docs, **how))
     return docs.mapInArrow(_redact(sent, least, docs.columns.index("text")), docs.schema)
 
