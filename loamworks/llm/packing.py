@@ -12,7 +12,9 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -137,24 +139,26 @@ class Pool:
 
 
 def runs(batches, most: int = 500_000):
-    """Ids and texts of successive rows, of about `most` characters together."""
-    docs, texts, size = [], [], 0
+    """Part, ids and texts of successive rows of one part, of about `most` characters together; without a third column all are of part None."""
+    now, docs, texts, size = None, [], [], 0
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        parts = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+        for doc, text, part in zip(batch.column(0).to_pylist(), batch.column(1), parts, strict=True):
+            if docs and (size > most or part != now):
+                yield now, docs, texts
+                docs, texts, size = [], [], 0
+            now = part
             docs.append(doc)
             texts.append(text.as_py() or "")
             size += len(texts[-1])
-            if size > most:
-                yield docs, texts
-                docs, texts, size = [], [], 0
     if docs:
-        yield docs, texts
+        yield now, docs, texts
 
 
 def packer(capacity: int, path: str, eos: int, whole: bool, least: int):
     def run(batches):
         task = TaskContext.get()
-        base = (task.partitionId() if task else 0) << 33
+        base, now = (task.partitionId() if task else 0) << 33, None
         encode, pool, n = encoder(path, whole), Pool(capacity), 0
         tail = np.asarray([eos], "<u4").tobytes()
 
@@ -171,7 +175,11 @@ def packer(capacity: int, path: str, eos: int, whole: bool, least: int):
                 at += length
             n += 1
 
-        for docs, texts in runs(batches):
+        for part, docs, texts in runs(batches):
+            if part != now:
+                while pool.size:
+                    close()
+                base, now, n = part << 26, part, 0
             for doc, ids in zip(docs, encode(texts), strict=True):
                 ids += tail
                 total = len(ids) // 4
@@ -195,7 +203,18 @@ def packer(capacity: int, path: str, eos: int, whole: bool, least: int):
     return run
 
 
-def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, eos: int = 1, whole: bool = False, least: int = 1024) -> DataFrame:
+def _parts(docs: DataFrame) -> Column:
+    """A number for each split of the files that docs are read from, which rises in the order in which the rows were written; else that of the partition."""
+    try:
+        docs.select("_metadata.file_name", "_metadata.file_block_start")
+    except AnalysisException:
+        return F.spark_partition_id().cast("long")
+    name = F.col("_metadata.file_name")
+    number = F.coalesce(F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long"), F.pmod(F.xxhash64(name), F.lit(1 << 20)))
+    return F.shiftleft(number, 14) + F.shiftright(F.col("_metadata.file_block_start"), 20)
+
+
+def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, eos: int = 1, whole: bool = False, least: int = 1024, in_order: bool = False) -> DataFrame:
     """Packs the ids of each text, with `eos` after them, into sequences of at most `capacity` ids.
 
     A document's ids are cut at multiples of `capacity`; full pieces are sequences by
@@ -205,12 +224,16 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, eo
     the same rows when a lost task runs again. `tokenizer` is the path of a `tokenizers`
     file, read on the workers.
 
+    With `in_order` each split of a file that Spark has written is packed by itself, and sequence_id rises from
+    one to the next in the order in which their rows were written; inside a split it follows that order but for the open pieces.
+
     Null and empty texts: one piece that holds `eos` alone. Repeated rows: packed as often as
     they occur. Null doc_id: kept as null. Very long texts: as many pieces as needed. Empty
     table: no rows. Columns besides doc_id and text are not read.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(packer(capacity, path, eos, whole, least), SCHEMA)
+    more = [_parts(docs).alias("part")] if in_order else []
+    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"), *more).mapInArrow(packer(capacity, path, eos, whole, least), SCHEMA)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import one_text, table
+from .common import MOST_BYTES, one_text, table
 from .toxicity import Sparse, _lists, fit
 
 BITS = 18
@@ -128,15 +128,16 @@ def scorer(weights):
     return run
 
 
-def quality(docs: DataFrame, max_train: int = 8000) -> DataFrame:
+def quality(docs: DataFrame, max_train: int = 8000, most_bytes: int = MOST_BYTES) -> DataFrame:
     """doc_id, score (0 to 1, higher is better), kept (score >= 0.5) of every whole text. No labels are used.
 
     The votes of all documents are counted by pattern (at most 3 to the power of the number of
     labellers rows reach the driver); EM turns patterns into posteriors. A linear model over
     hashed features is fitted to the posteriors of at most `max_train` documents, those with the
-    smallest hash of doc_id, and scores every document.
+    smallest hash of doc_id, whose texts have `most_bytes` together at most, and scores every document.
 
-    Null or empty text: scored as no words. Repeated rows: each gets its row, and one of them is
+    Null or empty text: scored as no words. Very long texts: voted on and scored whole. Other columns: not
+    read. Repeated rows: each gets its row, and one of them is
     trained on. Null doc_id: scored, never trained on. Empty table: no rows.
     """
     spark = docs.sparkSession
@@ -144,7 +145,7 @@ def quality(docs: DataFrame, max_train: int = 8000) -> DataFrame:
     patterns = {r[0]: r[1] for r in text.mapInArrow(_votes, "votes string").groupBy("votes").count().collect()}
     good, _ = em(patterns)
     pick = docs.select(F.col("doc_id").cast("long").alias("_id")).where("_id IS NOT NULL").distinct().orderBy(F.xxhash64("_id"), "_id").limit(max_train)
-    got = one_text(docs, pick).mapInArrow(_traits, "key long, votes string, i array<int>, v array<float>").toArrow()
+    got = one_text(docs, pick, most_bytes).mapInArrow(_traits, "key long, votes string, i array<int>, v array<float>").toArrow()
     got = got.sort_by("key")  # the order of sums, whichever task was first
     y = np.array([good.get(k, 0.5) for k in got.column(1).to_pylist()])
     w = fit(Sparse(_lists(got.column(2)), _lists(got.column(3))), y, Sparse([], []), l1=1e-5, steps=400)

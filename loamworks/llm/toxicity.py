@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import one_text, table
+from .common import MOST_BYTES, one_text, table
 
 BITS = 18
 THRESHOLD = 0.3
@@ -129,15 +129,16 @@ def fit(x: Sparse, y: np.ndarray, change: Sparse, fairness: float = 1.0, l1: flo
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int = 6000, groups=IDENTITY, fairness: float = 1.0) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int = 6000, groups=IDENTITY, fairness: float = 1.0, most_bytes: int = MOST_BYTES) -> np.ndarray:
     """Fits on at most `max_train` labelled documents, those with the smallest hash of doc_id.
 
-    The bound makes the sample of a size that can be broadcast and gathered. Null labels and null doc_ids are
+    Their texts have `most_bytes` together at most: that bounds what the driver gathers, some 8 bytes a
+    feature of a distinct word. Null labels and null doc_ids are
     left out; of several labels of a document the largest counts, of several texts the least.
     """
     lab = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_label")).where("_id IS NOT NULL AND _label IS NOT NULL")
     pick = lab.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(max_train)
-    got = one_text(docs, pick).mapInArrow(_examples(groups), "key long, label int, i array<int>, v array<float>").toArrow()
+    got = one_text(docs, pick, most_bytes).mapInArrow(_examples(groups), "key long, label int, i array<int>, v array<float>").toArrow()
     got = got.sort_by("key")  # the order of sums, whichever task was first
     label_, i, v = got.column(1).to_pylist(), *(_lists(got.column(k)) for k in (2, 3))
     own = [k for k, y in enumerate(label_) if y is not None]
@@ -198,8 +199,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """doc_id, held_out, score, predicted of every document.
 
     Only texts and labels of documents that are not held out are learned from, and only the
-    text is scored. Null doc_id: held_out is null. Null or empty text: scored as no words.
-    No labels: every text scores 0.5. Repeated rows: each gets its row. Empty table: no rows.
+    text is scored. Null doc_id: held_out is null. Null or empty text: scored as no words. Very
+    long texts: scored whole. Other columns: not read. No labels: every text scores 0.5. Repeated rows: each gets its row. Empty table: no rows.
     """
     out = score(docs, model(docs, labels, **how))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -225,6 +226,8 @@ def reject(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -
     """The documents, all their columns kept, that score below the threshold.
 
     A model without a weight for any word, as of no labelled row, tells no text from another: all documents stay.
+    Null and empty texts: judged as no words. Very long texts: whole. Repeated rows: each by itself, alike. Null
+    doc_id: as any other. Empty table: no rows. Other columns pass through, whatever their names.
     """
     if not weights[:-1].any():
         warnings.warn("no labelled row to learn toxicity from: every document is kept", stacklevel=2)

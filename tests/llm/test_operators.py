@@ -298,3 +298,37 @@ def test_em_finds_accuracies():
         patterns[k] = patterns.get(k, 0) + 1
     _, chance = quality.em(patterns)
     assert np.argsort(-chance[:, 1, quality.GOOD]).tolist()[:2] == [0, 1]
+
+
+def test_packing_of_cut_documents(spark):
+    """Pieces of documents longer than a sequence: starts, and ids by brute force."""
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = [(i, prose(900 + 700 * i, 50 + i)) for i in range(6)] + [(9, "é, X. " * 3000)]
+    want = {d: [*tok.encode(t, add_special_tokens=False).ids, 1] for d, t in rows}
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), capacity=512, least=4).collect()
+    by = {}
+    for r in got:
+        assert r.ids_crc32 == zlib.crc32(np.asarray(want[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) and r.doc_tokens == len(want[r.doc_id])
+        by.setdefault(r.doc_id, []).append((r.start, r.length))
+    for d, pieces in by.items():
+        at = 0
+        for start, length in sorted(pieces):
+            assert start == at
+            at += length
+        assert at == len(want[d]) > 512
+
+
+def test_packing_in_the_order_of_files(spark, tmp_path):
+    rows = [(i, prose(20 + i % 30, i)) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(6, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/d")
+    got = packing.pack(spark.read.parquet(f"{tmp_path}/d"), in_order=True, least=4).collect()
+    first = {}
+    for r in got:
+        first.setdefault(r.sequence_id >> 40, []).append(r.doc_id)
+    spans = [(min(v), max(v)) for _, v in sorted(first.items())]
+    assert len(spans) == 6 and all(a[1] < b[0] for a, b in zip(spans[:-1], spans[1:], strict=True))
+    assert sorted(r.doc_id for r in got) == list(range(400))
+    assert packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), in_order=True).count() == 400
