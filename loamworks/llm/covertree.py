@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_group, components, table
+from .common import Scratch, components, groups, table
 
 LINKS = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
-SLACK = 1e-9
+SLACK = 1e-7  # more than distances near 0 lose by rounding, about 2e-8
+RINGS = 64
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -83,47 +84,64 @@ def close_nodes(a: CoverTree, b: CoverTree, reach: float):
         yield la.members[p], lb.members[q], same and p == q
 
 
+class Part:
+    """Vectors of one length in a chunk, at length 1, with the cover tree over them."""
+
+    def __init__(self, rep: np.ndarray, m: np.ndarray, raw: list[bytes], least: float):
+        order = np.argsort(rep, kind="stable")
+        self.rep, self.m = rep[order], m[order]
+        x = np.stack([np.frombuffer(raw[i], "<f8") for i in order])
+        x = x / np.abs(x).max(1, keepdims=True)
+        self.tree = CoverTree(x / np.linalg.norm(x, axis=1, keepdims=True), least)
+
+
+def parts(t: pa.Table, least: float) -> dict[int, Part]:
+    """By length: vectors of different lengths are never compared."""
+    rep, m, raw = t.column("rep").to_numpy(), t.column("m").to_numpy(), t.column("x").to_pylist()
+    size = np.array([len(r) for r in raw])
+    return {n: Part(rep[at], m[at], [raw[i] for i in at], least) for n in np.unique(size).tolist() for at in [np.flatnonzero(size == n)]}
+
+
+def between(a: Part, b: Part, threshold: float) -> tuple[np.ndarray, ...] | None:
+    """(rep, n, root) of the linked vectors of two chunks, or of one with itself: how many rows each is linked with, and one that links reach."""
+    own, reach = a is b, math.sqrt(max(0.0, 2 - 2 * threshold))
+    rep, m = (a.rep, a.m) if own else (np.append(a.rep, b.rep), np.append(a.m, b.m))
+    shift = 0 if own else len(a.rep)
+    root, n = np.arange(len(rep)), np.zeros(len(rep), np.int64)
+    for p, q, self_ in close_nodes(a.tree, b.tree, reach):
+        for at in range(0, len(p), 1024):
+            part, q_ = p[at : at + 1024], q + shift
+            hit = a.tree.x[part] @ b.tree.x[q].T >= threshold
+            if self_:
+                hit &= part[:, None] != q[None, :]
+            n[part] += hit @ m[q_]
+            if not self_:
+                n[q_] += hit.T @ m[part]
+            for i in np.flatnonzero(hit.any(1)).tolist():
+                near = root[q_[hit[i]]]
+                if (near != root[part[i]]).any():
+                    found = np.unique(np.append(near, root[part[i]]))
+                    root[np.isin(root, found)] = found[0]
+    got = np.flatnonzero(n)
+    return (rep[got], n[got], rep[root[got]]) if len(got) else None
+
+
 def _link(threshold: float):
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold))
-
-    def run(t: pa.Table) -> pa.Table | None:
-        rep, m, second = t.column("rep").to_numpy(), t.column("m").to_numpy(), t.column("second").to_numpy(zero_copy_only=False)
-        by_size: dict[int, list[int]] = {}
-        raw = t.column("x").to_pylist()
-        for i, r in enumerate(raw):
-            by_size.setdefault(len(r), []).append(i)
-        out = []
-        for rows in by_size.values():  # vectors of different lengths are never compared
-            rows = np.array(rows)
-            rows = rows[np.argsort(rep[rows], kind="stable")]
-            x = np.stack([np.frombuffer(raw[i], "<f8") for i in rows])
-            x = x / np.abs(x).max(1, keepdims=True)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            side = second[rows]
-            parts = [np.flatnonzero(~side), np.flatnonzero(side)]
-            if not len(parts[0]) or (second.any() and not len(parts[1])):
-                continue
-            a = CoverTree(x[parts[0]], reach / 4)
-            b = CoverTree(x[parts[1]], reach / 4) if len(parts[1]) else a
-            own_a, own_b = parts[0], parts[1] if len(parts[1]) else parts[0]
-            root, n, weight = np.arange(len(rows)), np.zeros(len(rows), np.int64), m[rows]
-            for p, q, self_ in close_nodes(a, b, reach):
-                for at in range(0, len(p), 1024):
-                    part = p[at : at + 1024]
-                    hit = a.x[part] @ b.x[q].T >= threshold
-                    p_, q_ = own_a[part], own_b[q]
-                    if self_:
-                        hit &= part[:, None] != q[None, :]
-                    n[p_] += hit @ weight[q_]
-                    if not self_:
-                        n[q_] += hit.T @ weight[p_]
-                    for i in np.flatnonzero(hit.any(1)):
-                        found = np.unique(np.append(root[q_[hit[i]]], root[p_[i]]))
-                        if len(found) > 1:
-                            root[np.isin(root, found)] = found[0]
-            got = np.flatnonzero(n)
-            out.append((rep[rows[got]], n[got], rep[rows[root[got]]]))
-        return pa.Table.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], schema=LINKS) if out else None
+    """Over rows (task, guest, turn, alone, rep, m, x) in order: a task's own chunk comes first, and its tree is built once; other chunks pass by it one after another."""
+    least = math.sqrt(max(0.0, 2 - 2 * threshold)) / 4
+
+    def run(batches):
+        host: dict[int, Part] = {}
+        for t in groups(batches, 3):
+            now = parts(t, least)
+            if not t.column("guest")[0].as_py():
+                host = now
+                pairs = [(p, p) for p in now.values()] if t.column("alone")[0].as_py() else []
+            else:
+                pairs = [(host[n], p) for n, p in now.items() if n in host]
+            out = [got for a, b in pairs if (got := between(a, b, threshold))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], schema=LINKS)
 
     return run
 
@@ -161,13 +179,15 @@ def _assign(centres):
     return run
 
 
-def links(classes: DataFrame, scratch: Scratch, threshold: float, chunk: int = 2048, most_centres: int = 4096) -> DataFrame:
-    """(rep, n, root) rows from the tasks: vectors linked to rep, and a smaller rep that it is linked with.
+def links(classes: DataFrame, scratch: Scratch, threshold: float, chunk: int = 2048, most_centres: int = 4096, most_guests: int = 32) -> DataFrame:
+    """(rep, n, root) rows from the tasks: vectors linked to rep, and one that links reach from it.
 
-    The top of the tree are at most `most_centres` cells over the largest labels (a bounded
-    sample, broadcast); pairs of cells too far apart for their covering radii are pruned. Cells are cut into
-    chunks of about `chunk` vectors, and each pair of chunks left is a task's bounded group, in which
-    cover trees of both chunks are built and traversed together.
+    The top of the tree are at most `most_centres` cells over the largest labels (a bounded sample, broadcast).
+    A cell is cut by distance from its centre into rings, and these into chunks of about `chunk` vectors. Pairs of
+    chunks are rows of a few numbers, pruned by the distance of their centres and the least and greatest
+    distance of their members before any vector moves. Of each pair that is left one chunk is the host and the
+    other goes there, so what is shuffled is a chunk a pair and the hosts themselves, in tasks of `most_guests`
+    pairs or so; there cover trees of both are traversed together.
     """
     spark = classes.sparkSession
     size = classes.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > chunk).orderBy(F.desc("n"), "label").limit(most_centres // 2).collect()
@@ -182,28 +202,52 @@ def links(classes: DataFrame, scratch: Scratch, threshold: float, chunk: int = 2
         pick = classes.join(F.broadcast(ask), "label").where(u <= F.col("share")).withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(u, "rep")))
         for r in pick.where("r <= c").select("label", "x").collect():
             centres.setdefault(r["label"], []).append(np.frombuffer(bytes(r["x"]), "<f8"))
-        centres = {k: np.stack([x / np.linalg.norm(x) for x in v if len(x) == len(v[0])]) for k, v in centres.items()}
+        centres = {k: np.stack([x / np.abs(x).max() / np.linalg.norm(x / np.abs(x).max()) for x in v if len(x) == len(v[0])]) for k, v in centres.items()}
     rows = classes.select("label", "rep", "m", "x").mapInArrow(_assign(spark.sparkContext.broadcast(centres)), "label long, rep long, m long, x binary, cell int, far double")
     rows = scratch.cut(rows, "assigned")
-    cells = rows.groupBy("label", "cell").agg(F.max("far").alias("radius"), F.ceil(F.count("*") / chunk).cast("int").alias("k"))
-    near = []
-    if centres:
-        radius = {(r["label"], r["cell"]): r["radius"] for r in cells.where(F.col("label").isin(list(centres))).collect()}
-        reach = math.sqrt(2 - 2 * threshold) + SLACK
-        for label, c in centres.items():
-            d = distances(c, c)
-            at = [i for i in range(len(c)) if (label, i) in radius]
-            near += [(label, i, j) for i in at for j in at if i == j or d[i, j] <= radius[label, i] + radius[label, j] + reach]
-    pairs = cells.where(~F.col("label").isin(list(centres)) if centres else F.lit(True)).select("label", "cell", F.col("cell").alias("other"))
+    cells = rows.groupBy("label", "cell").agg(F.count("*").alias("n"), F.percentile_approx("far", [i / RINGS for i in range(1, RINGS)]).alias("cuts"))
+    cells = cells.select("label", "cell", "cuts", F.least(F.lit(RINGS), F.ceil(F.col("n") / chunk)).cast("int").alias("rings"))
+    rings = rows.join(cells, ["label", "cell"])
+    place = F.size(F.filter("cuts", lambda c: c < F.col("far")))
+    rings = rings.select("label", "cell", F.floor(place * F.col("rings") / RINGS).cast("int").alias("ring"), "rep", "m", "x", "far")
+    chunks = rings.groupBy("label", "cell", "ring").agg(F.min("far").alias("lo"), F.max("far").alias("hi"), F.ceil(F.count("*") / chunk).cast("int").alias("k"))
+    chunks = scratch.cut(chunks, "chunks")
+    near = _near_cells(chunks, centres, threshold)
+    pairs = chunks.where(~F.col("label").isin(list(centres)) if centres else F.lit(True)).select("label", "cell", F.col("cell").alias("other"), F.lit(0.0).alias("d")).distinct()
     if near:
-        pairs = pairs.unionByName(spark.createDataFrame(near, "label long, cell int, other int"))
-    other = cells.select("label", F.col("cell").alias("other"), F.col("k").alias("ok"))
-    pairs = pairs.join(cells.select("label", "cell", "k"), ["label", "cell"]).join(other, ["label", "other"])
-    rows = rows.join(pairs, ["label", "cell"]).withColumn("own", F.struct("cell", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("k")).cast("int").alias("chunk")))
-    rows = rows.withColumn("with", F.explode(F.transform(F.sequence(F.lit(0), F.col("ok") - 1), lambda c: F.struct(F.col("other").alias("cell"), c.alias("chunk")))))
-    task = F.xxhash64("label", F.least("own", "with"), F.greatest("own", "with"))
-    rows = rows.select(task.alias("task"), "label", "rep", "m", "x", (F.col("own") > F.col("with")).alias("second"))
-    return by_group(rows, ["task", "label"], _link(threshold), "rep long, n long, root long")
+        pairs = pairs.unionByName(spark.createDataFrame(near, "label long, cell int, other int, d double"))
+    side = lambda c, names: chunks.select("label", F.col("cell").alias(c), F.col("ring").alias(names[0]), F.col("lo").alias(names[1]), F.col("hi").alias(names[2]), F.col("k").alias(names[3]))
+    pairs = pairs.join(side("cell", ("ring", "lo", "hi", "k")), ["label", "cell"]).join(side("other", ("oring", "olo", "ohi", "ok")), ["label", "other"])
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
+    pairs = pairs.where((F.col("d") - F.col("hi") - F.col("ohi") <= reach) & (F.col("olo") - F.col("d") - F.col("hi") <= reach) & (F.col("lo") - F.col("d") - F.col("ohi") <= reach))
+    pairs = pairs.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("osub", F.explode(F.sequence(F.lit(0), F.col("ok") - 1)))
+    pairs = pairs.select("label", F.struct("cell", "ring", "sub").alias("a"), F.struct(F.col("other").alias("cell"), F.col("oring").alias("ring"), F.col("osub").alias("sub")).alias("b")).where("a <= b")
+    first = F.xxhash64("label", "a", "b") % 2 == 0  # so that no chunk is host of all its pairs
+    pairs = scratch.cut(pairs.select("label", F.when(first, F.col("a")).otherwise(F.col("b")).alias("host"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("guest")), "pairs")
+    tasks = pairs.groupBy("label", "host").agg(F.ceil(F.count("*") / most_guests).alias("tasks"))
+    pairs = pairs.join(tasks, ["label", "host"]).withColumn("task", F.struct("label", "host", F.pmod(F.xxhash64("guest"), F.col("tasks")).alias("part")))
+    held = rings.join(chunks.select("label", "cell", "ring", "k"), ["label", "cell", "ring"])
+    held = held.select("label", F.struct("cell", "ring", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("k")).cast("int").alias("sub")).alias("chunk"), "rep", "m", "x")
+    hosts = pairs.groupBy("label", F.col("host").alias("chunk"), "task").agg(F.bool_or(F.col("host") == F.col("guest")).alias("alone")).withColumn("turn", F.col("chunk"))
+    guests = pairs.where("host <> guest").select("label", F.col("guest").alias("chunk"), "task", F.lit(False).alias("alone"), F.col("guest").alias("turn"))
+    come = hosts.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
+    met = held.join(come, ["label", "chunk"]).select(F.xxhash64("task").alias("task"), "guest", F.xxhash64("turn").alias("turn"), "alone", "rep", "m", "x")
+    return met.repartition("task").sortWithinPartitions("task", "guest", "turn").mapInArrow(_link(threshold), "rep long, n long, root long")
+
+
+def _near_cells(chunks: DataFrame, centres: dict, threshold: float) -> list[tuple]:
+    """Pairs of cells (label, cell, other, distance of centres) that may hold links, by their covering radii."""
+    if not centres:
+        return []
+    rows = chunks.where(F.col("label").isin(list(centres))).groupBy("label", "cell").agg(F.max("hi").alias("radius")).collect()  # one a centre
+    radius, out = {(r["label"], r["cell"]): r["radius"] for r in rows}, []
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
+    for label, c in centres.items():
+        at = [i for i in range(len(c)) if (label, i) in radius]
+        d, r = distances(c, c), np.array([radius[label, i] for i in at])
+        for i, x in zip(at, r.tolist(), strict=True):
+            out += [(label, i, at[j], float(d[i, at[j]]) if at[j] != i else 0.0) for j in np.flatnonzero(d[i, at] <= x + r + reach).tolist()]
+    return out
 
 
 def near_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = 0.98, chunk: int = 2048) -> DataFrame:

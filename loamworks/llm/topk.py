@@ -35,6 +35,11 @@ class Shard:
             ends = [0, *cuts.tolist(), len(v)]
             self.segments.append([(v[a], v[b - 1], rows[a:b], v[a:b] - v[0], v[a:b] - v[-1]) for a, b in zip(ends[:-1], ends[1:], strict=True)])
 
+    def fitted(self, q: np.ndarray) -> np.ndarray:
+        """A query as long as the shard's vectors: what is missing counts 0, what is beyond meets nothing."""
+        width = self.x.shape[1]
+        return np.pad(q, (0, width - len(q))) if len(q) < width else q[:width]
+
     def search(self, own: int, q: np.ndarray, k: int, every: int = 32, few: int = 1024) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows that are not `own`; ties go to the smaller id."""
         impact, where = [], []
@@ -78,17 +83,34 @@ def _matrix(blobs: pa.ChunkedArray) -> np.ndarray:
     return np.stack([np.pad(r, (0, width - len(r))) for r in rows])
 
 
-def _search(k: int):
-    def run(t: pa.Table) -> pa.Table:
-        x, ids, query = _matrix(t.column("x")), t.column("vec_id").to_numpy(), t.column("query").to_numpy()
-        if query.all() or not query.any():
-            return OUT.empty_table()
-        shard = Shard(ids[~query], x[~query])
+def _search(k: int, block: int = 2048):
+    """Over rows (shard, query, vec_id, x) in order: a shard's candidates become its index, once, and its queries stream through it, `block` at a time."""
+
+    def answers(shard: Shard, ids: list[int], blobs: list[bytes]) -> pa.RecordBatch:
         out = []
-        for own, q in zip(ids[query].tolist(), x[query], strict=True):
-            got, score = shard.search(own, q, k)
+        for own, x in zip(ids, blobs, strict=True):
+            got, score = shard.search(own, shard.fitted(np.frombuffer(x, "<i8")), k)
             out.append((np.full(len(got), own, np.int64), got, score))
-        return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=OUT)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=OUT)
+
+    def run(batches):
+        now, rows, shard = None, [], None
+        for b in batches:
+            shards, asks = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((shards[1:] != shards[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True) if b.num_rows else ():
+                if shards[i] != now:
+                    now, rows, shard = shards[i], [], None
+                part = b.slice(i, j - i)
+                if not asks[i]:
+                    rows.append(part)
+                    continue
+                if rows:
+                    t = pa.Table.from_batches(rows)
+                    shard, rows = Shard(t.column(2).to_numpy(), _matrix(t.column(3))), []
+                for at in range(0, part.num_rows if shard else 0, block):
+                    some = part.slice(at, block)
+                    yield answers(shard, some.column(2).to_pylist(), some.column(3).to_pylist())
 
     return run
 
@@ -109,28 +131,28 @@ def _integers(scale: float):
     return run
 
 
-def top_k(vectors: DataFrame, scratch: Scratch, k: int = 5, every: int = 50, scale: float = 256.0, shard_rows: int = 8192, block_rows: int = 2048) -> DataFrame:
+def top_k(vectors: DataFrame, scratch: Scratch, k: int = 5, every: int = 50, scale: float = 256.0, shard_rows: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: of each query (vec_id divisible by `every`) the k best other rows.
 
-    Components become floor(scale * x); scores are integer inner products and exact. All
-    candidates are dealt to shards of about `shard_rows`, the stated query set to blocks of about
-    `block_rows`; each pair of shard and block is one task's bounded group, and gives k rows a
-    query, of which the best k are taken by a group-limited window. A query stops early in a
-    shard only on proof, and then its possible members are scored anew.
+    Components become floor(scale * x); scores are integer inner products and exact. Each candidate is dealt to
+    one shard of about `shard_rows`, whose index is built once, in one task; the stated query set goes to
+    every shard and streams through its index in blocks. So what is shuffled is each row once, and each
+    query once a shard. A shard gives k rows a query, of which the best k are taken by a group-limited
+    window. A query stops early in a shard only on proof, and then its possible members are scored anew.
 
     Null vec_id, and vectors that are null, empty or hold null or non-finite components: take no
     part. Lengths that differ: what is missing counts 0. Ties: smaller vec_id. Rows that share a
-    vec_id: one query; none is a candidate of that query. Fewer than k candidates: all of them.
-    Empty table: no rows. Products are expected to fit 64 bits.
+    vec_id: one query, with the least of their vectors; none is a candidate of that query. Fewer than k candidates:
+    all of them. Empty table: no rows. Other columns are not read. Products are expected to fit 64 bits.
     """
     ints = scratch.cut(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(_integers(scale), "vec_id long, x binary"), "ints")
-    query = F.col("vec_id") % every == 0
-    n, m = ints.agg(F.count("*"), F.count_if(query)).first()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block_rows))
-    many = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)))
-    rows = ints.select(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), many(blocks).alias("block"), "vec_id", "x", F.lit(False).alias("query"))
-    asks = ints.where(query).dropDuplicates(["vec_id"]).select(many(shards).alias("shard"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"), "vec_id", "x", F.lit(True).alias("query"))
-    part = rows.unionByName(asks).groupBy("shard", "block").applyInArrow(_search(k), "query_id long, vec_id long, score long")
+    shards = max(1, -(-ints.count() // shard_rows))
+    # Of rows alike in vec_id and vector, however many, k can be among the best.
+    few = ints.groupBy("vec_id", "x").agg(F.least(F.count("*"), F.lit(k)).alias("n")).select("vec_id", "x", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    rows = few.select(F.pmod(F.xxhash64("vec_id", "x", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("query"), "vec_id", "x")
+    asks = ints.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
+    asks = asks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("query"), "vec_id", "x")
+    part = rows.unionByName(asks).repartition("shard").sortWithinPartitions("shard", "query").mapInArrow(_search(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return part.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -73,7 +73,7 @@ def write(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z", least
     most = rows.groupBy("digest", "n").agg(F.max("page_id").alias("leader"), F.count("*").alias("copies")).where(f"copies > 1 AND n >= {int(least_bytes)}")
     most = most.select(F.col("digest").alias("_d"), F.col("n").alias("_n"), "leader")
     refers = F.when(F.col("leader").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("leader")), F.col("leader"))
-    rows = rows.join(most, (F.col("digest") == F.col("_d")) & (F.col("n") == F.col("_n")), "left").select("page_id", "url", F.when(refers.isNull(), F.col("html")).alias("html"), "digest", "n", refers.alias("refers_to"))
+    rows = rows.join(most.hint("merge"), (F.col("digest") == F.col("_d")) & (F.col("n") == F.col("_n")), "left").select("page_id", "url", F.when(refers.isNull(), F.col("html")).alias("html"), "digest", "n", refers.alias("refers_to"))
     rows.mapInArrow(_records(date), "value string").write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
@@ -163,25 +163,27 @@ def reachable(scratch: Scratch, cands: DataFrame, block: int = 4 << 20) -> DataF
     Inside blocks of `block` bytes chains are followed in a task. Between blocks, entries are
     marked by pointer jumping: in each round a marked entry marks the one it points to, and every
     pointer doubles, so rounds grow with the logarithm of a file's blocks.
+
+    Every table here has a row a record or a block, which grows with the archives, so none is broadcast: joins are by merging.
     """
     cands = cands.withColumn("blk", F.floor(F.col("o") / block))
     exits = scratch.cut(cands.groupBy("file", "blk").applyInArrow(_exits(block), "file long, blk long, o long, exit long"), "exits")
     hit = exits.select("file", F.col("exit").alias("o")).where("o IS NOT NULL").distinct()
-    state = exits.join(hit, ["file", "o"], "left_semi").where("o > 0").unionByName(exits.where("o = 0"))
+    state = exits.join(hit.hint("merge"), ["file", "o"], "left_semi").where("o > 0").unionByName(exits.where("o = 0"))
     state = scratch.cut(state.select("file", "o", F.col("exit").alias("j"), (F.col("o") == 0).alias("marked")), "jumps")
     known = -1
     while (n := state.where("marked").count()) != known:
         known = n
         marks = state.where("marked AND j IS NOT NULL").select("file", F.col("j").alias("o"), F.lit(True).alias("hit")).distinct()
         further = state.select("file", F.col("o").alias("j"), F.col("j").alias("jj"))
-        nxt = state.join(further, ["file", "j"], "left").join(marks, ["file", "o"], "left")
+        nxt = state.join(further.hint("merge"), ["file", "j"], "left").join(marks.hint("merge"), ["file", "o"], "left")
         # A pointer past its last entry stays, so that a late mark still passes on.
         nxt = nxt.select("file", "o", F.coalesce("jj", "j").alias("j"), (F.col("marked") | F.coalesce("hit", F.lit(False))).alias("marked"))
         nxt = scratch.cut(nxt, "jumps")
         scratch.drop(state)
         state = nxt
     entry = state.where("marked").select("file", "o", F.lit(True).alias("entry"))
-    return cands.join(entry, ["file", "o"], "left").groupBy("file", "blk").applyInArrow(_follow, "file long, o long")
+    return cands.join(entry.hint("merge"), ["file", "o"], "left").groupBy("file", "blk").applyInArrow(_follow, "file long, o long")
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -223,13 +225,13 @@ def read(spark: SparkSession, path: str, scratch: Scratch, block: int = 4 << 20)
     rows = scratch.cut(pieces(spark, path).mapInArrow(_candidates, ROWS), "pieces")
     ends = rows.groupBy("file", "split").agg(F.max(F.col("at") + F.col("size") + len(BOUNDARY)).alias("n"))
     ends = ends.withColumn("base", F.sum("n").over(Window.partitionBy("file").orderBy("split")) - F.col("n")).drop("n")
-    rows = rows.join(ends, ["file", "split"])
+    rows = rows.join(ends.hint("merge"), ["file", "split"])
     start = F.col("base") + F.col("at")
     first = start == 0
     cands = rows.where("need IS NOT NULL").select("*", F.when(first, 0).otherwise(start - len(MAGIC)).cast("long").alias("o"), (start + F.col("need") + 4).alias("nxt"))
     cands = scratch.cut(cands, "candidates")
     ok = scratch.cut(reachable(scratch, cands.select("file", "o", "nxt"), block), "reachable")
-    records = cands.join(ok, ["file", "o"], "left_semi")
+    records = cands.join(ok.hint("merge"), ["file", "o"], "left_semi")
     names = [c.split()[0] for c in RECORDS.split(", ")]
     out = records.where("need <= size").select(*names)
     parted = records.where("need > size").select("file", "o", "nxt", "split", "seq")
@@ -237,9 +239,9 @@ def read(spark: SparkSession, path: str, scratch: Scratch, block: int = 4 << 20)
         return out
     every = rows.select("file", "split", "seq", (start - F.when(first, 0).otherwise(len(MAGIC))).cast("long").alias("p"))
     own = F.last("o", True).over(Window.partitionBy("file").orderBy("p")).alias("owner")
-    owner = every.join(parted.select("file", F.col("o").alias("p"), "o", "nxt"), ["file", "p"], "left")
+    owner = every.join(parted.select("file", F.col("o").alias("p"), "o", "nxt").hint("merge"), ["file", "p"], "left")
     owner = owner.select("file", "split", "seq", "p", own, F.last("nxt", True).over(Window.partitionBy("file").orderBy("p")).alias("until")).where("owner IS NOT NULL AND p < until")
-    parts = pieces(spark, path).mapInArrow(_numbered, "file long, split long, seq long, value binary").join(owner, ["file", "split", "seq"])
+    parts = pieces(spark, path).mapInArrow(_numbered, "file long, split long, seq long, value binary").join(owner.hint("merge"), ["file", "split", "seq"])
     return out.unionByName(parts.groupBy("file", "owner").applyInArrow(_whole, RECORDS))
 
 

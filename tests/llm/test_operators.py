@@ -110,7 +110,7 @@ def test_cover_tree_levels():
     assert {(i, j) for i, j in zip(*np.nonzero(d <= 0.3), strict=True) if i < j} <= pairs
 
 
-@pytest.mark.parametrize("how", [{}, {"shard_rows": 7, "block_rows": 2}])
+@pytest.mark.parametrize("how", [{}, {"shard_rows": 7}])
 def test_top_k(spark, how):
     rows = [(i, v) for i, _, v in vectors()]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"x": F.lit(1), "score": F.lit(2), "rank": F.lit(0)})
