@@ -221,6 +221,35 @@ def span_hash(c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return mix((c[j] - c[i]) * down[i] + (j - i).astype(np.uint64) * MIX2)
 
 
+#: 64-bit words of a key filter: 2 MB, whatever the number of keys.
+FILTER_WORDS = 1 << 18
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A bitset of fixed size that holds every key, a 64-bit hash; it may hold others too."""
+    rows = keys.select(F.col("key").bitwiseAND(F.lit(FILTER_WORDS - 1)).alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(key, 40) & 63 as int))").alias("b"))
+    got = rows.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(FILTER_WORDS, np.uint64)
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
+    return out
+
+
+def _held(words: np.ndarray, key: np.ndarray) -> np.ndarray:
+    key = key.view(np.uint64)
+    return (words[(key & np.uint64(FILTER_WORDS - 1)).astype(np.int64)] >> ((key >> np.uint64(40)) & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def only(filter_, want: bool):
+    """The rows whose first column, a hash, the broadcast filter holds, or does not."""
+
+    def run(batches):
+        for b in batches:
+            keep = _held(filter_.value, b.column(0).to_numpy()) == want
+            yield b.filter(pa.array(keep))
+
+    return run
+
+
 class Union:
     """Union-find over 0..n-1; the root is the smallest member."""
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
-from .common import MIX1, MIX2, Scratch, by_group, components, mix, prefix_hash, slices, span_hash, table, word_bounds
+from .common import MIX1, MIX2, Scratch, by_group, components, key_filter, mix, only, prefix_hash, slices, span_hash, table, word_bounds
 
 T = 64  # minwise tokens of a document, by which trees branch
 BINS = 512  # bins of a document's hashes, of which one byte each says what is least in it
@@ -101,20 +102,21 @@ def first_level(similarity: float, trees: int) -> list[tuple[int, int]]:
 
 
 def _roots(similarity: float, trees: int):
-    """Rows (node, rep) of the first level of every tree: documents that share a chosen minwise token share a node."""
+    """Rows (node, rep, known) of the first level of every tree: documents that share a chosen minwise token share a node. Each is known to be connected with itself."""
 
     def run(batches):
         pick = first_level(similarity, trees)
         for b in batches:
             sig = tokens(b.column(1))
             nodes = [mix(sig[:, c].astype(np.uint64) + np.uint64((t * T + c + 1) << 32)).view(np.int64) for t, c in pick]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.tile(b.column(0).to_numpy(), len(pick)))], ["node", "rep"])
+            rep = pa.array(np.tile(b.column(0).to_numpy(), len(pick)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), rep, rep], ["node", "rep", "known"])
 
     return run
 
 
 def _branches(similarity: float, levels: int = 3):
-    """The next levels of nodes that are too large for a task: (node, rep). A node's own hash draws the coordinates that it branches on."""
+    """The next levels of nodes that are too large for a task: (node, rep, known). A node's own hash draws the coordinates that it branches on."""
     two = np.uint64(int((branching(similarity) - 1) * (1 << 53)))
 
     def run(batches):
@@ -127,7 +129,7 @@ def _branches(similarity: float, levels: int = 3):
                 other = (c[more] + 1 + (mix(h[more] ^ MIX1) % np.uint64(T - 1)).astype(np.int64)) % T
                 node, row, c = np.append(node, node[more]), np.append(row, row[more]), np.append(c, other)
                 node = mix(node ^ ((c + 1).astype(np.uint64) * MIX2) ^ (tok[row, c].astype(np.uint64) * STEP[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), b.column(1).take(pa.array(row))], ["node", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *(b.column(k).take(pa.array(row)) for k in (1, 3))], ["node", "rep", "known"])
 
     return run
 
@@ -157,10 +159,13 @@ def _ones(bits: np.ndarray) -> np.ndarray:
 
 
 class Roots:
-    """Components over 0..n-1 as an array of roots."""
+    """Components over 0..n-1 as an array of roots; rows with equal `known` start as one."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, known: np.ndarray | None = None):
         self.root = np.arange(n)
+        if known is not None:
+            _, first, back = np.unique(known, return_index=True, return_inverse=True)
+            self.root = first[back]
         self.links: list[tuple[int, int]] = []
 
     def join(self, i: int, others: np.ndarray) -> None:
@@ -206,9 +211,10 @@ def _join(percent: int, leaf: int = 128):
     """
 
     def run(t: pa.Table) -> pa.Table | None:
+        t = t.take(pc.sort_indices(t, [("rep", "ascending")]))  # nodes with the same members then have the same pivot, and give the same pairs
         rep, col = t.column("rep").to_numpy(), t.column("sig")
         tok, sig = tokens(col), Bins(col, t.column("n").to_numpy())
-        state = Roots(len(rep))
+        state = Roots(len(rep), t.column("known").to_numpy())
         stack = [(np.arange(len(rep)), frozenset(), t.column("node")[0].as_py() % (1 << 64))]
         while stack:
             rows, used, key = stack.pop()
@@ -240,7 +246,8 @@ def _join(percent: int, leaf: int = 128):
 def candidates(reps: DataFrame, scratch: Scratch, percent: int, trees: int, node_rows: int) -> DataFrame:
     """Pairs (a, b) that connect all documents that may be linked; a spanning forest for each node."""
     sim = percent / 100
-    rows = reps.select("rep", "sig").mapInArrow(_roots(sim, trees), "node long, rep long")
+    schema = "node long, rep long, known long"
+    rows = reps.select("rep", "sig").mapInArrow(_roots(sim, trees), schema)
     found = None
     while True:
         rows = scratch.cut(rows, "nodes")
@@ -248,18 +255,19 @@ def candidates(reps: DataFrame, scratch: Scratch, percent: int, trees: int, node
         # Nodes of different trees with the same members are one.
         sizes = scratch.cut(sizes.groupBy("c", "x", "lo", "hi").agg(F.min("node").alias("node")).select("node", "c"), "sizes")
         full = rows.join(sizes, "node").join(reps.select("rep", "n", "sig"), "rep")
-        part = by_group(full.where(F.col("c") <= node_rows).select("node", "rep", "n", "sig"), ["node"], _join(percent), "a long, b long")
+        part = by_group(full.where(F.col("c") <= node_rows).select("node", "rep", "known", "n", "sig"), ["node"], _join(percent), "a long, b long")
         part = scratch.cut(part.distinct(), "pairs")
         found = part if found is None else found.unionByName(part)
         if sizes.where(F.col("c") > node_rows).isEmpty():
             return found
-        # Larger nodes: the pivot's likes are linked to it; nodes that hold nothing else end here, the others branch.
+        # Larger nodes: the pivot's likes are linked to it, and from then on known to be connected; nodes that hold nothing else end here, the others branch.
         big = full.where(F.col("c") > node_rows)
         pivots = big.groupBy("node").agg(F.min_by(F.struct(F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("sig").alias("ps")), F.xxhash64("rep")).alias("v")).select("node", "v.*")
-        big = scratch.cut(big.join(pivots, "node").mapInArrow(_near_pivot(percent), "node long, rep long, sig binary, p long, near boolean"), "big")
-        found = found.unionByName(scratch.cut(big.where("near AND rep <> p").select(F.col("rep").alias("a"), F.col("p").alias("b")).distinct(), "pairs"))
+        big = scratch.cut(big.join(pivots, "node").mapInArrow(_near_pivot(percent), "node long, rep long, sig binary, known long, p long, near boolean"), "big")
+        found = found.unionByName(scratch.cut(big.where("near AND known <> p").select(F.col("rep").alias("a"), F.col("p").alias("b")).distinct(), "pairs"))
         going = big.where("NOT near").select("node").distinct()
-        rows = big.join(going, "node", "left_semi").select("node", "rep", "sig").mapInArrow(_branches(sim), "node long, rep long")
+        known = F.when(F.col("near"), F.col("p")).otherwise(F.col("known")).alias("known")
+        rows = big.join(going, "node", "left_semi").select("node", "rep", "sig", known).mapInArrow(_branches(sim), schema)
 
 
 def _near_pivot(percent: int):
@@ -267,7 +275,7 @@ def _near_pivot(percent: int):
         for b in batches:
             t = pa.Table.from_batches([b])
             own, pivot, every = Bins(t.column("sig"), t.column("n").to_numpy()), Bins(t.column("ps"), t.column("pn").to_numpy()), np.arange(b.num_rows)
-            yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in ("node", "rep", "sig", "p")), pa.array(alike(own, every, pivot, every, percent))], ["node", "rep", "sig", "p", "near"])
+            yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in ("node", "rep", "sig", "known", "p")), pa.array(alike(own, every, pivot, every, percent))], ["node", "rep", "sig", "known", "p", "near"])
 
     return run
 
@@ -284,6 +292,16 @@ def _identities(batches):
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], [*b.schema.names, "n", "h1", "h2"])
 
 
+def _wanted_sets(filter_):
+    """The full sets of the texts whose document the filter holds, of rows (hash of doc_id, doc_id, text)."""
+    keep = only(filter_, True)
+
+    def run(batches):
+        yield from _sets(b.select(["doc_id", "text"]) for b in keep(batches))
+
+    return run
+
+
 def _sets(batches):
     """Full sets of texts, and what names their class: (low, n, h1, h2, s)."""
     for b in batches:
@@ -372,7 +390,7 @@ def _large(full: DataFrame, scratch: Scratch, percent: int, block: int = 512) ->
     return star.unionByName(both.mapInArrow(_linked_pairs(percent), "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, trees: int = 10, node_rows: int = 8_192, cluster_rows: int = 1_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, trees: int = 10, node_rows: int = 8_192, cluster_rows: int = 2_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document; links are pairs whose Jaccard similarity is `percent` / 100 or more.
 
     Documents with equal sets are one class from the start. Classes are branched by chosen minwise
@@ -399,7 +417,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, trees:
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _classes(docs: DataFrame, scratch: Scratch, percent: int = 80, trees: int = 10, node_rows: int = 8_192, cluster_rows: int = 1_000) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, scratch: Scratch, percent: int = 80, trees: int = 10, node_rows: int = 8_192, cluster_rows: int = 2_000) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n, h1, h2, sig), and their classes (n, h1, h2, root, component): linked ones share a root and the smallest doc_id."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = scratch.cut(text.mapInArrow(_sketches, "doc_id long, n long, h1 long, h2 long, sig binary"), "sketches")
@@ -409,7 +427,10 @@ def _classes(docs: DataFrame, scratch: Scratch, percent: int = 80, trees: int =
     clusters = scratch.cut(components(scratch, pairs).select(F.col("v").alias("rep"), F.col("root").alias("cluster")), "clusters")
     wanted = clusters.join(reps, "rep")
     by, sets = ["n", "h1", "h2"], "low long, n long, h1 long, h2 long, s binary"
-    named = text.join(wanted.where("low IS NOT NULL").select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, sets)
+    # Only the texts of candidates turn into sets and are shuffled: a filter of fixed size goes to them, not they to the candidates.
+    held = text.sparkSession.sparkContext.broadcast(key_filter(wanted.where("low IS NOT NULL").select(F.xxhash64("low").alias("key"))))
+    named = text.where("doc_id IS NOT NULL").select(F.xxhash64("doc_id").alias("key"), "doc_id", "text").mapInArrow(_wanted_sets(held), sets)
+    named = named.groupBy("low", *by).agg(F.any_value("s").alias("s"))  # one row of a repeated document
     named = named.join(wanted, [*by, "low"]).select("cluster", "rep", "n", "s", "sig")
     nameless = text.where("doc_id IS NULL").select("doc_id", "text").mapInArrow(_sets, sets).groupBy(*by).agg(F.any_value("s").alias("s"))
     full = named.unionByName(nameless.join(wanted.where("low IS NULL"), by).select("cluster", "rep", "n", "s", "sig"))

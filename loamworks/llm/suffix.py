@@ -10,13 +10,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX1, Scratch, by_group, mix, prefix_hash, span_hash, table
+from .common import MIX1, Scratch, by_group, key_filter, mix, only, prefix_hash, span_hash, table
 
 LENGTH = 400
 PREFIX = 128  # bytes by which suffixes are ordered first
 ENTRY = "khash long, whash long, key long, a int, back int, fwd int"
 HOT = 4000  # windows with one prefix that a task compares at once
-WORDS = 1 << 18  # 64-bit words of a key filter: 2 MB, whatever the number of keys
 
 
 def window_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -160,29 +159,6 @@ class SuffixIndex:
         return self.found.groupBy("key", "a").agg(F.max("state").alias("state"), *(F.any_value(c).alias(c) for c in ("khash", "whash", "back", "fwd")))
 
 
-def key_filter(keys: DataFrame) -> np.ndarray:
-    """A bitset of fixed size that holds every key; it may hold others too."""
-    rows = keys.select(F.col("key").bitwiseAND(F.lit(WORDS - 1)).alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(key, 40) & 63 as int))").alias("b"))
-    got = rows.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(WORDS, np.uint64)
-    out[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
-    return out
-
-
-def _held(words: np.ndarray, key: np.ndarray) -> np.ndarray:
-    key = key.view(np.uint64)
-    return (words[(key & np.uint64(WORDS - 1)).astype(np.int64)] >> ((key >> np.uint64(40)) & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
-def _only(filter_, want: bool):
-    def run(batches):
-        for b in batches:
-            keep = _held(filter_.value, b.column(0).to_numpy()) == want
-            yield b.filter(pa.array(keep))
-
-    return run
-
-
 def _windows(length: int):
     """The bytes of the windows of some suffixes of each document."""
 
@@ -272,7 +248,7 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, prefix: int
     some = some.groupBy("key").agg(F.collect_list(F.struct("khash", "a", "back", "fwd")).alias("some"))
     some = scratch.cut(some, "parts")
     held = spark.sparkContext.broadcast(key_filter(some))
-    texts = rows.mapInArrow(_only(held, True), "key long, text string")
+    texts = rows.mapInArrow(only(held, True), "key long, text string")
     windows = scratch.cut(texts.join(some, "key").mapInArrow(_windows(length), "khash long, key long, lo int, data binary").dropDuplicates(["khash", "key", "lo"]), "windows")
     many = windows.groupBy("khash").count().where(F.col("count") > hot).select("khash")
     out = whole
@@ -302,7 +278,7 @@ def _removed(length: int, texts: bool, filter_=None):
     """With a filter, only for the documents whose key is not in it, as their first step."""
 
     def run(batches):
-        for b in batches if filter_ is None else (x.select(["doc_id", "text"]) for x in _only(filter_, False)(batches)):
+        for b in batches if filter_ is None else (x.select(["doc_id", "text"]) for x in only(filter_, False)(batches)):
             got = []
             marks = b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows
             for text, some in zip(b.column(1), marks, strict=True):
@@ -336,7 +312,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, batc
     rows = keyed(docs).select("key", "doc_id", "text")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>" + ", kept binary" * texts
     clean = rows.mapInArrow(_removed(length, texts, held), schema)
-    cut = rows.mapInArrow(_only(held, True), "key long, doc_id long, text string").join(marks, "key", "left").select("doc_id", "text", "marks").mapInArrow(_removed(length, texts), schema)
+    cut = rows.mapInArrow(only(held, True), "key long, doc_id long, text string").join(marks, "key", "left").select("doc_id", "text", "marks").mapInArrow(_removed(length, texts), schema)
     return clean.unionByName(cut)
 
 
