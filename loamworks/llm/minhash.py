@@ -248,17 +248,22 @@ def candidates(reps: DataFrame, scratch: Scratch, percent: int, trees: int, node
     sim = percent / 100
     schema = "node long, rep long, known long"
     rows = reps.select("rep", "sig").mapInArrow(_roots(sim, trees), schema)
-    found = None
+    found, read = None, []
     while True:
         rows = scratch.cut(rows, "nodes")
+        scratch.drop(*read)
         sizes = rows.groupBy("node").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("c > 1")
         # Nodes of different trees with the same members are one.
         sizes = scratch.cut(sizes.groupBy("c", "x", "lo", "hi").agg(F.min("node").alias("node")).select("node", "c"), "sizes")
         full = rows.join(sizes, "node").join(reps.select("rep", "n", "sig"), "rep")
+        many = not sizes.where(F.col("c") > node_rows).isEmpty()
+        if many:  # it is read more than once
+            full = scratch.cut(full, "full")
         part = by_group(full.where(F.col("c") <= node_rows).select("node", "rep", "known", "n", "sig"), ["node"], _join(percent), "a long, b long")
         part = scratch.cut(part.distinct(), "pairs")
         found = part if found is None else found.unionByName(part)
-        if sizes.where(F.col("c") > node_rows).isEmpty():
+        if not many:
+            scratch.drop(rows, sizes)
             return found
         # Larger nodes: the pivot's likes are linked to it, and from then on known to be connected; nodes that hold nothing else end here, the others branch.
         big = full.where(F.col("c") > node_rows)
@@ -266,8 +271,10 @@ def candidates(reps: DataFrame, scratch: Scratch, percent: int, trees: int, node
         big = scratch.cut(big.join(pivots, "node").mapInArrow(_near_pivot(percent), "node long, rep long, sig binary, known long, p long, near boolean"), "big")
         found = found.unionByName(scratch.cut(big.where("near AND known <> p").select(F.col("rep").alias("a"), F.col("p").alias("b")).distinct(), "pairs"))
         going = big.where("NOT near").select("node").distinct()
-        known = F.when(F.col("near"), F.col("p")).otherwise(F.col("known")).alias("known")
-        rows = big.join(going, "node", "left_semi").select("node", "rep", "sig", known).mapInArrow(_branches(sim), schema)
+        known, read = F.when(F.col("near"), F.col("p")).otherwise(F.col("known")).alias("known"), [rows, sizes, full, big]
+        rows = big.join(going, "node", "left_semi").select("node", "rep", "sig", known)
+        reps = scratch.cut(reps.join(rows.select("rep").distinct(), "rep", "left_semi"), "left")  # later rounds are about no others
+        rows = rows.mapInArrow(_branches(sim), schema)
 
 
 def _near_pivot(percent: int):
@@ -418,14 +425,16 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, trees:
 
 
 def _classes(docs: DataFrame, scratch: Scratch, percent: int = 80, trees: int = 10, node_rows: int = 8_192, cluster_rows: int = 2_000) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n, h1, h2, sig), and their classes (n, h1, h2, root, component): linked ones share a root and the smallest doc_id."""
+    """Rows (doc_id, n, h1, h2), and their classes (n, h1, h2, root, component): linked ones share a root and the smallest doc_id."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = scratch.cut(text.mapInArrow(_sketches, "doc_id long, n long, h1 long, h2 long, sig binary"), "sketches")
-    reps = rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("low"), F.any_value("sig").alias("sig"))
+    full = scratch.cut(text.mapInArrow(_sketches, "doc_id long, n long, h1 long, h2 long, sig binary"), "sketches")
+    reps = full.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("low"), F.any_value("sig").alias("sig"))
     reps = scratch.cut(reps.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    rows = scratch.cut(full.select("doc_id", "n", "h1", "h2"), "rows")
+    scratch.drop(full)
     pairs = candidates(reps, scratch, percent, trees, node_rows)
     clusters = scratch.cut(components(scratch, pairs).select(F.col("v").alias("rep"), F.col("root").alias("cluster")), "clusters")
-    wanted = clusters.join(reps, "rep")
+    wanted = clusters.join(reps.select("rep", "n", "h1", "h2", "low", "sig"), "rep")
     by, sets = ["n", "h1", "h2"], "low long, n long, h1 long, h2 long, s binary"
     # Only the texts of candidates turn into sets and are shuffled: a filter of fixed size goes to them, not they to the candidates.
     held = text.sparkSession.sparkContext.broadcast(key_filter(wanted.where("low IS NOT NULL").select(F.xxhash64("low").alias("key"))))
