@@ -52,6 +52,11 @@ def inline(c: Column) -> tuple[Column, Column]:
     return F.when(found, number(F.regexp_extract(c, parts, 1))), F.when(found, limit(F.regexp_extract(c, parts, 2)))
 
 
+def broken(value: Column, lim: Column) -> Column:
+    """An array of the one struct<value, lim> if the value breaks the limit, else an empty one. Exploding it tests and keeps what was parsed once, where a filter would parse it again."""
+    return F.filter(F.array(F.struct(value.alias("value"), lim.alias("lim"))), lambda x: ~satisfies(x["value"], x["lim"]))
+
+
 def column_like(headers: Column, keys: tuple[str, ...]) -> Column:
     """The place, from 0, of the first header that contains one of the keys; null if none does."""
     hit = F.transform(headers, lambda h: reduce(lambda a, k: a | F.contains(F.lower(F.coalesce(h, F.lit(""))), F.lit(k)), keys, F.lit(False)))

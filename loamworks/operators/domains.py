@@ -16,8 +16,11 @@ def _any(said: Column, terms: Column) -> Column:
 
 
 def fallback(said: Column) -> Column:
-    """The domains whose words occur in a text, in their order; three defaults if none does."""
-    low = F.lower(F.coalesce(said, F.lit("")))
+    """The domains whose words occur in a text, in their order; three defaults if none does. The text is lowered once."""
+    return F.transform(F.array(F.lower(F.coalesce(said, F.lit("")))), _suggested)[0]
+
+
+def _suggested(low: Column) -> Column:
     hits = [F.when(reduce(lambda a, w: a | F.contains(low, F.lit(w)), words, F.lit(False)), F.lit(name)) for name, words in fixed.DOMAIN_HINTS]
     found = F.array_compact(F.array(*hits))
     return F.when(F.size(found) > 0, found).otherwise(F.array(*map(F.lit, fixed.DEFAULT_DOMAINS)))

