@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from functools import reduce
 
@@ -165,9 +166,21 @@ ORACLES: list[Callable[[DataFrame], DataFrame]] = [result_vs_limit, value_vs_inl
 CHECKLISTS: list[Callable[[DataFrame], DataFrame]] = [missing_elements, component_coverage, missing_commitment]
 
 
-def run(docs: DataFrame, checks: list[Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
-    """All findings of the checks, in a fixed order: by check, then by place in the document."""
-    every = [f(docs).withColumn("_stage", F.lit(i)) for i, f in enumerate(checks or ORACLES + CHECKLISTS)]
+def run(docs: DataFrame, checks: list[Callable[[DataFrame], DataFrame]] | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """All findings of the checks, in a fixed order: by check, then by place in the document.
+
+    A check that fails is left out with a warning. Where `keep` is given, which writes a check's findings and
+    returns them read again, that holds for failures while it runs, too; without it only for those while it is planned.
+    """
+    every = []
+    for i, check in enumerate(checks or ORACLES + CHECKLISTS):
+        try:
+            found = check(docs).withColumn("_stage", F.lit(i))
+            every.append(keep(found) if keep else found)
+        except Exception as e:  # noqa: BLE001 - one check must not take the others with it
+            warnings.warn(f"{getattr(check, '__name__', check)} failed: {e}", stacklevel=2)
+    if not every:
+        return docs.sparkSession.createDataFrame([], FINDING)
     df = reduce(DataFrame.unionByName, every)
     return df.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("_stage", "ord", "title")).cast("long")).drop("_stage")
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..sources.readers import BLOCK, TABLE
+from ..sources.readers import BLOCK, PAIR, TABLE
 from . import sequences
 
 # Geometry in median line heights, and sizes.
@@ -292,3 +292,67 @@ def confident(regions: DataFrame, least: float = 0.5) -> DataFrame:
     return regions.where((F.col("score") >= least) & (F.trim("text") != ""))
 
 
+# Below this share of the page's height a table may have a caption above it, of fewer characters than this.
+CAPTION_BELOW, CAPTION_LENGTH = 0.15, 200
+
+
+def cleaned_grid(raw: Column) -> Column:
+    """Of a detected grid (array<array<string>>) struct<title, headers, rows>; null with fewer than two rows.
+
+    Blank rows at the top go, a top row with one cell that is not blank is the title, and columns that are blank in
+    every row go; two rows are always left.
+    """
+    texts = F.transform(F.coalesce(raw, F.array()), lambda row: F.transform(row, lambda c: F.trim(F.coalesce(c, F.lit("")))))
+    full = lambda row: F.size(F.filter(row, lambda c: c != ""))
+    one = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731 - names a value, so that it is made once
+
+    def titled(grid: Column) -> Column:
+        has = (F.size(grid) >= 3) & (full(grid[0]) == 1)
+        title = F.when(has, F.filter(grid[0], lambda c: c != "")[0]).otherwise("")
+        return one(F.when(has, F.slice(grid, 2, F.size(grid) - 1)).otherwise(grid), lambda g: finished(title, g))
+
+    def finished(title: Column, grid: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(grid[0]) - 1), lambda i: F.exists(grid, lambda row: F.coalesce(F.get(row, i), F.lit("")) != ""))
+        some = (F.size(places) > 0) & (F.size(places) < F.size(grid[0]))
+        cut = F.when(some, F.transform(grid, lambda row: F.transform(places, lambda i: F.coalesce(F.get(row, i), F.lit(""))))).otherwise(grid)
+        return one(cut, lambda g: F.struct(title.alias("title"), g[0].alias("headers"), F.slice(g, 2, F.size(g) - 1).alias("rows")))
+
+    def trimmed(grid: Column) -> Column:
+        blank = F.size(grid) - F.size(F.filter(F.sequence(F.lit(0), F.size(grid) - 1), lambda i: F.exists(F.slice(grid, 1, i + 1), lambda row: full(row) > 0)))
+        gone = F.least(blank, F.size(grid) - 2)
+        return one(F.slice(grid, gone + 1, F.size(grid) - gone), titled)
+
+    return F.when(F.size(texts) >= 2, one(texts, trimmed))
+
+
+def band_caption(inside: Column, above: Column, y0: Column, height: Column) -> Column:
+    """A table's title: that in its grid, else the text in the band above it, where that is no running head and not long."""
+    said = F.trim(F.coalesce(above, F.lit("")))
+    band = F.when((y0 > height * CAPTION_BELOW) & (F.length(said) < CAPTION_LENGTH), said).otherwise("")
+    return F.when(F.coalesce(inside, F.lit("")) != "", inside).otherwise(band)
+
+
+def large_figures(figures: DataFrame) -> DataFrame:
+    """Figures (x0, y0, x1, y1, width, height: those of the page) that cover 3 % of their page at least: others are logos. None on a page without area."""
+    return figures.where((F.col("width") * F.col("height") > 0) & (F.abs((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))) / (F.col("width") * F.col("height")) >= FIGURE_AREA))
+
+
+def flat_text(blocks: Column, tables: Column) -> Column:
+    """A page as text in reading order: blocks, then each table with its title, pairs as `label: value`, and cells between tabs."""
+    rtrim = lambda c: F.regexp_replace(c, r"(?U)\s+$", "")
+    line = lambda row: rtrim(F.array_join(F.transform(row, lambda c: F.coalesce(c, F.lit(""))), "\t"))
+    pair = lambda p: F.trim(F.regexp_replace(F.concat(F.coalesce(p["label"], F.lit("")), F.lit(": "), F.coalesce(p["value"], F.lit(""))), r"^[: ]+|[: ]+$", ""))
+
+    def table(t: Column) -> Column:
+        grid = F.concat(F.array(line(F.coalesce(t["headers"], F.array().cast("array<string>")))), F.transform(F.coalesce(t["rows"], F.array().cast("array<array<string>>")), line))
+        pairs = F.transform(F.coalesce(t["pairs"], F.array().cast(t_pairs)), pair)
+        return F.concat(F.array(F.coalesce(t["title"], F.lit(""))), F.when(t["kind"] == "key_value", pairs).otherwise(grid))
+
+    t_pairs = f"array<{PAIR}>"
+    parts = F.concat(F.transform(F.coalesce(blocks, F.array().cast(f"array<{BLOCK}>")), lambda b: F.coalesce(b["text"], F.lit(""))), F.flatten(F.transform(F.coalesce(tables, F.array().cast(f"array<{TABLE}>")), table)))
+    return F.array_join(F.filter(parts, lambda x: x != ""), "\n")
+
+
+def recognised_text(payload: Column) -> Column:
+    """What a recogniser says that answers with plain text; null where the answer is a list of boxes."""
+    return F.when(~F.trim(payload).startswith("[") | F.from_json(payload, "array<string>").isNull(), payload)

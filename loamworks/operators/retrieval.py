@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import ahocorasick
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.text import strip
@@ -176,6 +178,28 @@ def hash_embedding(c: Column, size: int = 64) -> Column:
     return unit(raw)
 
 
+def embed(df: DataFrame, c: str, model: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 16, out: str = "embedding") -> DataFrame:
+    """Adds the vectors that an injected model gives for the texts of a column, `batch` texts a call; null for null and blank texts, which are not sent.
+
+    `model` makes the model on each worker. Calls cost, so write the vectors before using them twice.
+    """
+    at = df.columns.index(c)
+
+    def run(batches):
+        ask = model()
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            some = [i for i, t in enumerate(texts) if t and t.strip()]
+            got: list = [None] * len(texts)
+            for k in range(0, len(some), batch):
+                part = some[k : k + batch]
+                for i, v in zip(part, ask([texts[i] for i in part]), strict=True):
+                    got[i] = v
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.list_(pa.float32()))], [*b.schema.names, out])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))]))
+
+
 def unit(c: Column) -> Column:
     """A vector of length 1 as floats; zero stays zero. What a stored index holds."""
     return F.transform(c, lambda x: (x.cast("double") / (norm(c) + F.lit(1e-9))).cast("float"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed, text
-from ..operators import checks, layout, ranking, sections
+from ..operators import checks, layout, ranking, rendering, sections
 from ..sources.readers import BLOCK, DOCUMENT, PAGE, TABLE
 from . import rules
 from .registry import query, read
@@ -215,3 +215,48 @@ def rebuilt_pages(spark, sf_dir):
     return layout.reconstruct(boxes).select(
         "doc_id", "page", F.size("tables").alias("n_tables"), t["title"].alias("title"), t["kind"].alias("kind"), F.size(t["rows"]).cast("long").alias("n_rows"), rows.alias("cells"), F.size("blocks").alias("n_blocks"),
     )
+
+
+@query("""
+SELECT l_orderkey, CASE WHEN l_orderkey % 2 = 0 THEN 'Order ' || l_orderkey ELSE '' END AS title, 'No|Flag' AS headers, count(*) AS n_rows,
+  string_agg(l_linenumber || '|' || l_returnflag, ';' ORDER BY l_linenumber, l_returnflag) AS cells FROM lineitem GROUP BY l_orderkey
+""")
+def cleaned_grids(spark, sf_dir):
+    """An order as a detected grid, with blank rows, a title row and a blank column in some of them."""
+    lines = by_order(spark, sf_dir, F.col("l_returnflag"))
+    row = lambda *cells: F.array(*[c if isinstance(c, Column) else F.lit(c) for c in cells])
+    blank = F.array_repeat(row(" ", None, ""), (F.col("l_orderkey") % 3).cast("int"))
+    title = F.when(F.col("l_orderkey") % 2 == 0, F.array(row(F.concat(F.lit(" Order "), F.col("l_orderkey").cast("string")), "", ""))).otherwise(F.array().cast("array<array<string>>"))
+    raw = F.concat(blank, title, F.array(row("No", " ", "Flag ")), F.transform("lines", lambda r: F.array(r["l_linenumber"].cast("string"), F.lit(None).cast("string"), r["a"])))
+    out = lines.select("l_orderkey", layout.cleaned_grid(raw).alias("g"))
+    rows = F.array_join(F.transform("g.rows", lambda r: F.array_join(r, "|")), ";")
+    return out.select("l_orderkey", "g.title", F.array_join("g.headers", "|").alias("headers"), F.size("g.rows").cast("long").alias("n_rows"), rows.alias("cells"))
+
+
+@query("SELECT p_partkey FROM part WHERE (p_size * 5.0) * 60.0 / (612.0 * 792.0) >= 0.03")
+def large_figures(spark, sf_dir):
+    box = [F.lit(x).alias(n) for n, x in (("x0", 10.0), ("y0", 20.0), ("y1", 80.0), ("width", 612.0), ("height", 792.0))]
+    return layout.large_figures(read(spark, sf_dir, "part").select("p_partkey", *box, (F.col("p_size") * 5.0 + 10.0).alias("x1"))).select("p_partkey")
+
+
+@query("""
+SELECT l_orderkey, md5('Order of goods' || chr(10) || 'Goods' || chr(10) || 'No' || chr(9) || 'Flag' || chr(10) || string_agg(l_linenumber || CASE WHEN l_returnflag = 'N' THEN '' ELSE chr(9) || l_returnflag END, chr(10) ORDER BY l_linenumber, l_returnflag)
+  || chr(10) || 'Order: ' || l_orderkey || chr(10) || 'Empty') AS said FROM lineitem GROUP BY l_orderkey
+""")
+def flat_pages(spark, sf_dir):
+    lines = by_order(spark, sf_dir, F.col("l_returnflag"))
+    rows = F.transform("lines", lambda r: F.array(r["l_linenumber"].cast("string"), F.when(r["a"] != "N", r["a"])))
+    pairs = F.array(F.struct(F.lit("Order").alias("label"), F.col("l_orderkey").cast("string").alias("value")), F.struct(F.lit("Empty").alias("label"), F.lit("").alias("value")))
+    p = page(F.lit(1), F.array(F.lit("Order of goods"), F.lit("")), F.array(grid(["No", "Flag"], rows, "Goods"), shaped(TABLE, kind=F.lit("key_value"), pairs=pairs)))
+    return lines.select("l_orderkey", p.alias("p")).select("l_orderkey", F.md5(layout.flat_text(F.col("p.blocks"), F.col("p.tables"))).alias("said"))
+
+
+@query("""
+WITH p AS (SELECT l_orderkey, row_number() OVER w AS i, repeat('x', CAST(l_quantity AS INTEGER)) AS t, sum(CAST(l_quantity AS INTEGER)) OVER w AS used FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT l_orderkey, string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i) FILTER (WHERE used <= 90 OR i = 1) AS said, count(*) FILTER (WHERE used > 90 AND i > 1) AS gone FROM p GROUP BY l_orderkey)
+SELECT l_orderkey, md5(said || CASE WHEN gone > 0 THEN chr(10) || chr(10) || '---' || chr(10) || chr(10) || chr(10) || '[... further sections omitted for length ...]' ELSE '' END) AS said, gone > 0 AS omitted FROM k
+""")
+def budgeted_sections(spark, sf_dir):
+    lines = by_order(spark, sf_dir, F.col("l_quantity"))
+    said = rendering.within_budget(F.transform("lines", lambda r: F.repeat(F.lit("x"), r["a"].cast("int"))), 90)
+    return lines.select("l_orderkey", said.alias("s")).select("l_orderkey", F.md5("s").alias("said"), F.contains("s", F.lit("omitted")).alias("omitted"))
