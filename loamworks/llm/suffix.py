@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from .common import MIX1, Scratch, by_group, key_filter, mix, only, prefix_hash,
 
 LENGTH = 400
 PREFIX = 128  # bytes by which suffixes are ordered first
-ENTRY = "khash long, whash long, key long, a int, back int, fwd int"
+ENTRY = "head binary, whash long, key long, a int, back int, fwd int"
+MATCH = "khash long, whash long, key long, a int, back int, fwd int"
 HOT = 4000  # windows with one prefix that a task compares at once
 
 
@@ -30,7 +32,7 @@ def window_min(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(text: np.ndarray, length: int, prefix: int) -> tuple[np.ndarray, ...] | None:
-    """The sampled suffixes of a text: hash of their first `prefix` bytes, hash of their window, place, and the window's reach.
+    """The sampled suffixes of a text: their first `prefix` bytes, hash of their window, place, and the window's reach.
 
     Every string of `length` bytes is owned by the suffix in it whose first bytes hash least (the
     leftmost, if equal), so equal strings are owned at the same place inside them. A suffix's
@@ -48,7 +50,8 @@ def anchors(text: np.ndarray, length: int, prefix: int) -> tuple[np.ndarray, ...
     lo, hi = np.append(0, cut + 1), np.append(cut, len(own) - 1)
     a = own[lo]
     whash = mix(span_hash(c, lo, hi + length) + (a - lo).astype(np.uint64) * MIX1)
-    return h[a].view(np.int64), whash.view(np.int64), a, a - lo, hi - a
+    heads = np.lib.stride_tricks.sliding_window_view(text, prefix)[a]
+    return heads, whash.view(np.int64), a, a - lo, hi - a
 
 
 def _bytes(text: pa.Scalar) -> np.ndarray:
@@ -74,10 +77,13 @@ def _entries(length: int, prefix: int, batches_: int):
 
 
 def _batch(out, keys, batches_: int) -> pa.RecordBatch:
-    kh, wh, a, back, fwd = (np.concatenate(c) for c in zip(*out, strict=True))
+    head, wh, a, back, fwd = (np.concatenate(c) for c in zip(*out, strict=True))
     key = np.concatenate(keys)
     batch = (mix(key.view(np.uint64)) % np.uint64(batches_)).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(kh), pa.array(wh), pa.array(key), *(pa.array(x.astype(np.int32)) for x in (a, back, fwd)), pa.array(batch)], ["khash", "whash", "key", "a", "back", "fwd", "batch"])
+    n, width = head.shape
+    at = pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32))
+    heads = pa.Array.from_buffers(pa.binary(), n, [None, at, pa.py_buffer(np.ascontiguousarray(head))])
+    return pa.RecordBatch.from_arrays([heads, pa.array(wh), pa.array(key), *(pa.array(x.astype(np.int32)) for x in (a, back, fwd)), pa.array(batch)], ["head", "whash", "key", "a", "back", "fwd", "batch"])
 
 
 def _scan(batches):
@@ -97,18 +103,18 @@ def _scan(batches):
         if not b.num_rows:
             continue
         t = pa.Table.from_batches([held, b] if held is not None else [b])
-        k, w = t.column(0).to_numpy(), t.column(1).to_numpy()
-        same = (k[1:] == k[:-1]).astype(np.int8) * (1 + (w[1:] == w[:-1]))
-        state = np.zeros(len(k), np.int8)
+        n, k, w = t.num_rows, t.column(0), t.column(1).to_numpy()
+        same = pc.equal(k.slice(1), k.slice(0, n - 1)).to_numpy().astype(np.int8) * (1 + (w[1:] == w[:-1]))
+        state = np.zeros(n, np.int8)
         state[0] = left
         np.maximum(state[1:], same, out=state[1:])
         np.maximum(state[:-1], same, out=state[:-1])
         left = int(same[-1]) if len(same) else left
-        edge = np.zeros(len(k), np.int8)
+        edge = np.zeros(n, np.int8)
         edge[0] = start
         held = b.slice(b.num_rows - 1)
-        if len(k) > 1:
-            got = out(t.slice(0, len(k) - 1), state[:-1], edge[:-1])
+        if n > 1:
+            got = out(t.slice(0, n - 1), state[:-1], edge[:-1])
             start = False
             if got.num_rows:
                 yield got
@@ -121,12 +127,13 @@ class SuffixIndex:
 
     A batch's array is merged with the arrays there are in one ordered pass that finds the
     suffixes with long matches; it then becomes a level of its own, and levels of equal size are merged before
-    the next batch comes. Suffixes are in order of the hash of their first bytes, and then of that
-    of their window: equal ones are neighbours, which is all that matches need. The order is dealt
-    out by range, with document and place as last keys, so one frequent string spreads over tasks.
+    the next batch comes. Suffixes are in lexicographic order of their first bytes (the shortest match
+    that matters is longer), and those alike in them in order of the hash of their window, so equal
+    ones are neighbours. The order is dealt out by range, with document and place as last keys, so
+    one frequent string spreads over tasks.
     """
 
-    KEYS = ("khash", "whash", "key", "a")
+    KEYS = ("head", "whash", "key", "a")
 
     def __init__(self, scratch: Scratch):
         self.scratch, self.levels, self.found = scratch, [], None
@@ -142,7 +149,8 @@ class SuffixIndex:
         merged = batch
         for _, level in self.levels:
             merged = merged.unionByName(level)
-        got = self.scratch.cut(self._ordered(merged).mapInArrow(_scan, f"{ENTRY}, state int, edge int, pid int"), "matches")
+        seen = self._ordered(merged).mapInArrow(_scan, f"{ENTRY}, state int, edge int, pid int")
+        got = self.scratch.cut(seen.select(F.xxhash64("head").alias("khash"), *seen.columns[1:]), "matches")
         self.levels.append((0, batch))
         rows = got.where("state > 0").drop("edge", "pid")
         ends = got.where("edge > 0").orderBy("pid", "edge").collect()  # two rows a partition at most
@@ -151,7 +159,7 @@ class SuffixIndex:
             if x["pid"] != y["pid"] and x["khash"] == y["khash"]:
                 more += [(*r[:6], 1 + (x["whash"] == y["whash"])) for r in (x, y)]
         if more:
-            rows = rows.unionByName(self.scratch.spark.createDataFrame(more, f"{ENTRY}, state int"))
+            rows = rows.unionByName(self.scratch.spark.createDataFrame(more, f"{MATCH}, state int"))
         self.found = rows if self.found is None else self.found.unionByName(rows)
 
     def matches(self) -> DataFrame:
