@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..operators import jobs, ranking, retrieval, sequences, training
-from . import documents, layouts, rules  # noqa: F401  (they register their queries)
+from . import calls, documents, layouts, rules  # noqa: F401  (they register their queries)
 from .registry import QUERIES, SQL, query, read  # noqa: F401
 
 @query(r"""

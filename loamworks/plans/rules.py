@@ -230,6 +230,11 @@ def _stream(spark, sf_dir):
     """The event log as a stream: of the folder's files only that of the events is read."""
     schema = read(spark, sf_dir, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return job_events(rows)
+
+
+def job_events(rows: DataFrame) -> DataFrame:
+    """The events table, or a stream of it, as events of jobs."""
     layer = F.when(F.col("event_id") % 3 == 0, "parse").otherwise("detection")
     done = F.when(F.col("event_type") == "signup", "layer_complete").when((F.col("event_type") == "error") & (F.col("value") > 50), "pipeline_complete").otherwise(F.col("event_type"))
     return rows.select(F.col("user_id").cast("string").alias("job_id"), layer.alias("layer"), done.alias("event_type"), F.col("event_id").cast("string").alias("message"), F.timestamp_seconds("event_id").alias("at"))

@@ -95,6 +95,33 @@ def embedding_text(product: Column, kind: Column, section: Column, said: Column)
     return F.concat_ws(" | ", *[F.nullif(c, F.lit("")) for c in (product, kind, section, said)])
 
 
+def zipped(names: Column, values: Column) -> Column:
+    """A map of a row's values by the names at their places; null where their numbers differ."""
+    return F.when(F.size(names) == F.size(values), F.map_from_arrays(names, values))
+
+
+def qualified(name: str, catalog: str = "", schema: str = "") -> str:
+    """A table's name with its catalog and schema, each quoted."""
+    return ".".join(f"`{x.replace('`', '``')}`" for x in (catalog, schema, name) if x)
+
+
+def replace_table(df: DataFrame, name: str) -> None:
+    """Writes a table anew: its old rows and columns go."""
+    df.write.mode("overwrite").saveAsTable(name)
+
+
+def health(probes: dict) -> dict[str, str]:
+    """`up`, or why not, for each named probe (a function without arguments), and `status`: ok if all are up, else degraded."""
+    out = {}
+    for name, probe in probes.items():
+        try:
+            probe()
+            out[name] = "up"
+        except Exception as e:  # noqa: BLE001 - a failing part is what is asked for
+            out[name] = f"down: {type(e).__name__}"
+    return out | {"status": "ok" if all(v == "up" for v in out.values()) else "degraded"}
+
+
 def embeddings_from_json(df: DataFrame, key: str = "record_id", c: str = "embedding") -> DataFrame:
     return df.select(key, F.from_json(c, "array<float>").alias(c))
 

@@ -64,6 +64,21 @@ def until_complete(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").applyInPandasWithState(_until_complete, "job_id string, layer string, event_type string, message string", "done boolean", "append", "NoTimeout")
 
 
+def watched(events: DataFrame) -> DataFrame:
+    """What subscribers of jobs are sent of a finished log: a `connected` row a job, then its events up to the first completion.
+
+    Events need a time; those with a null one, and those of the completion's own time, are sent too.
+    """
+    first = events.groupBy("job_id").agg(F.min(F.when(F.col("event_type") == "pipeline_complete", F.col("at"))).alias("_end"))
+    sent = events.join(first, "job_id").where("_end IS NULL OR at IS NULL OR at <= _end").drop("_end")
+    return first.select("job_id", F.lit("connected").alias("event_type")).unionByName(sent, allowMissingColumns=True)
+
+
+def publish(events: DataFrame, path: str) -> None:
+    """Appends events to the log under a folder, where `source` finds them."""
+    events.write.mode("append").parquet(path)
+
+
 def counts_by_window(events: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """An extension: events by job and time window, with a bound on lateness that keeps state small."""
     return events.withWatermark("at", late).groupBy("job_id", F.window("at", width)).agg(F.count("*").alias("n"))
