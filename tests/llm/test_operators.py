@@ -79,6 +79,22 @@ def test_suffix_rows_and_spans(spark):
     assert suffix.remove_repeats(df.limit(0), Scratch(spark)).count() == 0
 
 
+def test_suffixes_are_in_order(spark):
+    rows = [(i, prose(200, i)) for i in range(12)] + [(50, prose(200, 3)), (51, "é" * 300)]
+    keyed = suffix.keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+    texts = {r.key: r.text.encode() for r in keyed.collect()}
+    entries = keyed.select("key", "text").mapInArrow(suffix._entries(90, 30, 1), f"{suffix.ENTRY}, batch int").drop("batch")
+    index = suffix.SuffixIndex(Scratch(spark))
+    level = index._ordered(entries).collect()
+    heads = [bytes(r.head) for r in level]
+    assert len(level) > 100 and heads == sorted(heads)
+    assert all(h == texts[r.key][r.a : r.a + 30] for h, r in zip(heads, level, strict=True))
+    index.add(entries)
+    got = {(r.key, r.a): r.state for r in index.matches().collect()}
+    shared = {h for h in heads if heads.count(h) > 1}
+    assert {(r.key, r.a) for h, r in zip(heads, level, strict=True) if h in shared} == set(got)
+
+
 def vectors():
     r = np.random.default_rng(1)
     base = r.normal(size=(60, 16))
