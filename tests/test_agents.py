@@ -74,3 +74,14 @@ def test_log_tables_and_health(spark, tmp_path):
     assert readers.health({"store": lambda: spark.sql("SELECT 1").collect()}) == {"store": "up", "status": "ok"}
     assert readers.health({"model": broken}) == {"model": "down: OSError", "status": "degraded"}
     assert json.dumps(spark.range(1).select(readers.zipped(F.array(F.lit("a")), F.array(F.lit(1), F.lit(2))).alias("m")).first().m) == "null"
+
+
+def test_replace_table(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE replaced LOCATION 'file://{tmp_path}/db'")
+    try:
+        name = readers.qualified("t", "", "replaced")
+        readers.replace_table(spark.range(5), name)
+        readers.replace_table(spark.createDataFrame([("a",)], "other string"), name)
+        assert [tuple(r) for r in spark.table(name).collect()] == [("a",)]
+    finally:
+        spark.sql("DROP DATABASE replaced CASCADE")
