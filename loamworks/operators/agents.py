@@ -43,8 +43,11 @@ def _item(df: DataFrame, prompt: Column, *more: str) -> DataFrame:
 
 
 def _documents(sections: DataFrame) -> DataFrame:
-    """A row a document with its rendered sections in order, `_all`: text moves once, however many items quote it."""
-    return sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_ord", "rendered"))).alias("_all"))
+    """A row a document with its rendered sections in order, `_all`: text moves once, however many items quote it.
+
+    Sizes that are guessed from columns say little of texts, so these are never broadcast.
+    """
+    return sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_ord", "rendered"))).alias("_all")).hint("merge")
 
 
 def _picked(ords: Column) -> Column:

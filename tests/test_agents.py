@@ -46,6 +46,16 @@ def test_challengers(spark):
     assert said[2].endswith("From the document:\n")
 
 
+def test_sections_are_never_broadcast(spark):
+    """The size that Spark guesses for texts made from narrow columns is far below theirs: a broadcast of many of them ends in an error."""
+    sections = spark.range(3).select(F.col("id").cast("string").alias("doc_id"), F.lit(1).alias("section_ord"), F.lit("Data").alias("heading"), F.lit("Table 1 a").alias("title"), F.repeat(F.lit("word "), F.lit(5000)).alias("rendered"))
+    found = spark.createDataFrame([("0", 0, "T", None, "e", "Table 1", None), ("1", 1, "T", None, "e", None, "data"), ("2", 2, "T", None, "e", None, None)], "doc_id string, ord int, title string, detail string, evidence string, table_ref string, section string")
+    work = agents.challenge_work(found, sections, sections, "Refute.")
+    assert [len(r.prompt) > 25_000 for r in work.collect()] == [True] * 3
+    joins = [x.strip(" :+-*") for x in work._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [doc_id#" in x]
+    assert joins and not [x for x in joins if "Broadcast" in x and "ord#" not in x]  # those with ord have no sections
+
+
 @pytest.mark.parametrize("answer, want", [('["stability", "none such"]', ["stability"]), ("no idea", ["impurities"])])
 def test_selector(spark, answer, want):
     docs = spark.createDataFrame([("a", None, ["H", None], "Impurities of it")], "doc_id string, filename string, headings array<string>, said string")
