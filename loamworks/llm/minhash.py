@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
-from .common import MIX1, MIX2, Scratch, by_group, components, key_filter, mix, only, prefix_hash, slices, span_hash, table, word_bounds
+from .common import MIX1, MIX2, Scratch, by_group, components, key_filter, lean, mix, only, prefix_hash, slices, span_hash, table, word_bounds
 
 T = 64  # minwise tokens of a document, by which trees branch
 BINS = 512  # bins of a document's hashes, of which one byte each says what is least in it
@@ -247,7 +247,7 @@ def candidates(reps: DataFrame, scratch: Scratch, percent: int, trees: int, node
     """Pairs (a, b) that connect all documents that may be linked; a spanning forest for each node."""
     sim = percent / 100
     schema = "node long, rep long, known long"
-    rows = reps.select("rep", "sig").mapInArrow(_roots(sim, trees), schema)
+    rows = reps.select("rep", "sig").mapInArrow(lean(_roots(sim, trees)), schema)
     found, read = None, []
     while True:
         rows = scratch.cut(rows, "nodes")
@@ -268,13 +268,13 @@ def candidates(reps: DataFrame, scratch: Scratch, percent: int, trees: int, node
         # Larger nodes: the pivot's likes are linked to it, and from then on known to be connected; nodes that hold nothing else end here, the others branch.
         big = full.where(F.col("c") > node_rows)
         pivots = big.groupBy("node").agg(F.min_by(F.struct(F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("sig").alias("ps")), F.xxhash64("rep")).alias("v")).select("node", "v.*")
-        big = scratch.cut(big.join(pivots, "node").mapInArrow(_near_pivot(percent), "node long, rep long, sig binary, known long, p long, near boolean"), "big")
+        big = scratch.cut(big.join(pivots, "node").mapInArrow(lean(_near_pivot(percent)), "node long, rep long, sig binary, known long, p long, near boolean"), "big")
         found = found.unionByName(scratch.cut(big.where("near AND known <> p").select(F.col("rep").alias("a"), F.col("p").alias("b")).distinct(), "pairs"))
         going = big.where("NOT near").select("node").distinct()
         known, read = F.when(F.col("near"), F.col("p")).otherwise(F.col("known")).alias("known"), [rows, sizes, full, big]
         rows = big.join(going, "node", "left_semi").select("node", "rep", "sig", known)
         reps = scratch.cut(reps.join(rows.select("rep").distinct(), "rep", "left_semi"), "left")  # later rounds are about no others
-        rows = rows.mapInArrow(_branches(sim), schema)
+        rows = rows.mapInArrow(lean(_branches(sim)), schema)
 
 
 def _near_pivot(percent: int):
@@ -382,7 +382,7 @@ def _large(full: DataFrame, scratch: Scratch, percent: int, block: int = 512) ->
     sets = full.select("rep", "s")
     pivot = full.groupBy("cluster").agg(F.min_by(F.struct(F.col("rep").alias("p"), F.col("s").alias("ps")), F.xxhash64("rep")).alias("v")).select("cluster", "v.*")
     spokes = full.join(pivot, "cluster").where("rep <> p").select(F.col("rep").alias("a"), F.col("p").alias("b"), "s", F.col("ps").alias("p"))
-    star = scratch.cut(spokes.mapInArrow(_linked_pairs(percent), "a long, b long"), "star")
+    star = scratch.cut(spokes.mapInArrow(lean(_linked_pairs(percent)), "a long, b long"), "star")
     near = star.select(F.col("a").alias("rep")).unionByName(pivot.select(F.col("p").alias("rep"))).withColumn("near", F.lit(True))
     rows = full.select("cluster", "rep", "n", "sig").join(near, "rep", "left").withColumn("near", F.coalesce("near", F.lit(False)))
     rows = scratch.cut(rows, "pivot")
@@ -394,7 +394,7 @@ def _large(full: DataFrame, scratch: Scratch, percent: int, block: int = 512) ->
     pairs = by_group(asks.unionByName(base), ["cluster", "x", "y"], _compare(percent), "a long, b long")
     pairs = scratch.cut(pairs, "pairs")
     both = pairs.join(sets.withColumnRenamed("rep", "a"), "a").join(sets.select(F.col("rep").alias("b"), F.col("s").alias("p")), "b").select("a", "b", "s", "p")
-    return star.unionByName(both.mapInArrow(_linked_pairs(percent), "a long, b long"))
+    return star.unionByName(both.mapInArrow(lean(_linked_pairs(percent)), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, trees: int = 10, node_rows: int = 8_192, cluster_rows: int = 2_000) -> DataFrame:
@@ -427,7 +427,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, trees:
 def _classes(docs: DataFrame, scratch: Scratch, percent: int = 80, trees: int = 10, node_rows: int = 8_192, cluster_rows: int = 2_000) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n, h1, h2), and their classes (n, h1, h2, root, component): linked ones share a root and the smallest doc_id."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    full = scratch.cut(text.mapInArrow(_sketches, "doc_id long, n long, h1 long, h2 long, sig binary"), "sketches")
+    full = scratch.cut(text.mapInArrow(lean(_sketches), "doc_id long, n long, h1 long, h2 long, sig binary"), "sketches")
     reps = full.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("low"), F.any_value("sig").alias("sig"))
     reps = scratch.cut(reps.withColumn("rep", F.monotonically_increasing_id()), "classes")
     rows = scratch.cut(full.select("doc_id", "n", "h1", "h2"), "rows")
@@ -438,10 +438,10 @@ def _classes(docs: DataFrame, scratch: Scratch, percent: int = 80, trees: int =
     by, sets = ["n", "h1", "h2"], "low long, n long, h1 long, h2 long, s binary"
     # Only the texts of candidates turn into sets and are shuffled: a filter of fixed size goes to them, not they to the candidates.
     held = text.sparkSession.sparkContext.broadcast(key_filter(wanted.where("low IS NOT NULL").select(F.xxhash64("low").alias("key"))))
-    named = text.where("doc_id IS NOT NULL").select(F.xxhash64("doc_id").alias("key"), "doc_id", "text").mapInArrow(_wanted_sets(held), sets)
+    named = text.where("doc_id IS NOT NULL").select(F.xxhash64("doc_id").alias("key"), "doc_id", "text").mapInArrow(lean(_wanted_sets(held)), sets)
     named = named.groupBy("low", *by).agg(F.any_value("s").alias("s"))  # one row of a repeated document
     named = named.join(wanted, [*by, "low"]).select("cluster", "rep", "n", "s", "sig")
-    nameless = text.where("doc_id IS NULL").select("doc_id", "text").mapInArrow(_sets, sets).groupBy(*by).agg(F.any_value("s").alias("s"))
+    nameless = text.where("doc_id IS NULL").select("doc_id", "text").mapInArrow(lean(_sets), sets).groupBy(*by).agg(F.any_value("s").alias("s"))
     full = named.unionByName(nameless.join(wanted.where("low IS NULL"), by).select("cluster", "rep", "n", "s", "sig"))
     size = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
     full = scratch.cut(full.join(size, "cluster"), "sets")
@@ -491,4 +491,4 @@ def deduplicate(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
 def _identified(rows: DataFrame) -> DataFrame:
     """Adds what names the class of a row to rows whose last column is the text."""
     more = [ST.StructField(c, ST.LongType()) for c in ("n", "h1", "h2")]
-    return rows.mapInArrow(_identities, ST.StructType([*rows.schema.fields, *more]))
+    return rows.mapInArrow(lean(_identities), ST.StructType([*rows.schema.fields, *more]))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, word_counts
+from .common import Scratch, lean, table, word_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Weights of the sources in code point order, repeating; null comes last.
@@ -27,7 +27,7 @@ def _sizes(batches):
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, text_hash and the number of words of each text."""
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return cols.mapInArrow(_sizes, "doc_id long, source string, text_hash long, size long")
+    return cols.mapInArrow(lean(_sizes), "doc_id long, source string, text_hash long, size long")
 
 
 def cycle(values: tuple[float, ...], rank: Column) -> Column:
@@ -173,9 +173,11 @@ def curriculum(docs: DataFrame, scratch: Scratch, slopes: tuple[float, ...] = SL
         several = read.where("many").select("_s", "_d", "_h").distinct()
         first = rows.join(several, same, "left_semi").groupBy("_source", "_id", "_hash").agg(F.first("_row").alias("_row"), F.first("_text").alias("_text"))
         out = out.unionByName(first.join(read.where("many"), same))
-    out = out.select("_row", "copy", "position", "pass", "words", "size", "_text")
-    out = out.mapInArrow(_cut, out.schema)
-    out = scratch.cut(out, "read").orderBy("position", "_row.doc_id", "pass", "copy")
+    # Texts that are read whole stay out of Python; those that are not, a document of each source at most, are cut afterwards.
+    part = (F.col("words") < F.col("size")).alias("part")
+    out = scratch.cut(out.select("_row", "copy", "position", "pass", "words", "size", part, "_text"), "read")
+    ends = scratch.cut(out.where("part").mapInArrow(lean(_cut), out.schema), "ends")
+    out = out.where("NOT part").unionByName(ends).orderBy("position", "_row.doc_id", "pass", "copy")
     return out.select(*[F.col("_text").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in names], "position", "pass", "words")
 
 

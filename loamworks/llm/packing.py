@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -233,7 +233,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, eo
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     more = [_parts(docs).alias("part")] if in_order else []
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"), *more).mapInArrow(packer(capacity, path, eos, whole, least), SCHEMA)
+    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"), *more).mapInArrow(lean(packer(capacity, path, eos, whole, least)), SCHEMA)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MOST_BYTES, one_text, table
+from .common import MOST_BYTES, lean, one_text, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -312,7 +312,7 @@ def train(docs: DataFrame, max_train: int = 3000, most_bytes: int = MOST_BYTES)
     bounds what the driver gathers, about 100 bytes a node. The sums are taken in the order of doc_id.
     """
     pick = docs.select(F.col("doc_id").cast("long").alias("_id")).where("_id IS NOT NULL").distinct().orderBy(F.xxhash64("_id"), "_id").limit(max_train)
-    rows = one_text(docs, pick, most_bytes).mapInArrow(_graphs, "key long, graph binary").toArrow().sort_by("key")
+    rows = one_text(docs, pick, most_bytes).mapInArrow(lean(_graphs), "key long, graph binary").toArrow().sort_by("key")
     return Model().fit([pickle.loads(x) for x in rows.column(1).to_pylist()])  # bytes that our own tasks wrote
 
 
@@ -364,7 +364,7 @@ def detect(docs: DataFrame, model: Model | None = None, least: float = 0.9, **ho
     """
     sent = docs.sparkSession.sparkContext.broadcast(model or train(docs, **how))  # a few hundred numbers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_detect(sent, least), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInArrow(lean(_detect(sent, least)), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -397,7 +397,7 @@ def redact(docs: DataFrame, model: Model | None = None, least: float = 0.9, **ho
     doc_id: kept. Empty table: no rows. Other columns pass through, whatever their names.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model or train(docs, **how))
-    return docs.mapInArrow(_redact(sent, least, docs.columns.index("text")), docs.schema)
+    return docs.mapInArrow(lean(_redact(sent, least, docs.columns.index("text"))), docs.schema)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

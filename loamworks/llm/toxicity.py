@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MOST_BYTES, one_text, table
+from .common import MOST_BYTES, lean, one_text, table
 
 BITS = 18
 THRESHOLD = 0.3
@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: i
     """
     lab = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_label")).where("_id IS NOT NULL AND _label IS NOT NULL")
     pick = lab.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(max_train)
-    got = one_text(docs, pick, most_bytes).mapInArrow(_examples(groups), "key long, label int, i array<int>, v array<float>").toArrow()
+    got = one_text(docs, pick, most_bytes).mapInArrow(lean(_examples(groups)), "key long, label int, i array<int>, v array<float>").toArrow()
     got = got.sort_by("key")  # the order of sums, whichever task was first
     label_, i, v = got.column(1).to_pylist(), *(_lists(got.column(k)) for k in (2, 3))
     own = [k for k, y in enumerate(label_) if y is not None]
@@ -183,7 +183,7 @@ def scorer(weights):
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """doc_id, score (0 to 1) of each whole text; null and empty texts get the constant's score."""
     sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # 2^BITS + 1 numbers, 1 MB
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(scorer(sent), "doc_id long, score double")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(lean(scorer(sent)), "doc_id long, score double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -233,4 +233,4 @@ def reject(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -
         warnings.warn("no labelled row to learn toxicity from: every document is kept", stacklevel=2)
         return docs
     sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-    return docs.mapInArrow(_clean(sent, docs.columns.index("text"), threshold), docs.schema)
+    return docs.mapInArrow(lean(_clean(sent, docs.columns.index("text"), threshold)), docs.schema)

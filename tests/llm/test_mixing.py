@@ -76,3 +76,19 @@ def test_curriculum_reads_no_more_than_the_mix(spark):
     position = [r.position for r in run.collect()]
     assert position == sorted(position) and 0 <= position[0] and position[-1] <= 1
     assert mixing.curriculum(df.limit(0), Scratch(spark)).count() == 0
+
+
+def test_texts_that_are_read_whole_stay_out_of_python(spark, monkeypatch):
+    cut = mixing._cut
+
+    def only_parts(batches):
+        for b in batches:
+            words, size = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("words", "size"))
+            assert all(w < n for w, n in zip(words, size, strict=True)), "a text that is read whole"
+            yield from cut([b])
+
+    monkeypatch.setattr(mixing, "_cut", only_parts)
+    rows = mixing.curriculum(frame(spark, ROWS), Scratch(spark)).collect()
+    whole = {(r.doc_id, r.source, r.text) for r in frame(spark, ROWS).collect()}
+    assert any((r.doc_id, r.source, r.text) not in whole for r in rows)
+    assert all(len(brute.WORD.findall(r.text)) == r.words for r in rows)
