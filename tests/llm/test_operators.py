@@ -79,6 +79,15 @@ def test_suffix_rows_and_spans(spark):
     assert suffix.remove_repeats(df.limit(0), Scratch(spark)).count() == 0
 
 
+def test_suffix_keeps_passages_below_400_bytes(spark):
+    below, at = prose(99, 20)[:399], prose(99, 21)[:400]
+    assert len(below.split()) > 50
+    rows = [(i, prose(60, 30 + i) + edge + p + edge + prose(60, 40 + i)) for i, (edge, p) in enumerate([("<", below), (">", below), ("<", at), (">", at)])]
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).drop("spans").collect()
+    assert {r.doc_id: r.n_removed for r in got} == {0: 0, 1: 0, 2: 400, 3: 400}
+    assert sorted(map(tuple, got), key=str) == brute.repeats(rows, 400)
+
+
 def test_suffixes_are_in_order(spark):
     rows = [(i, prose(200, i)) for i in range(12)] + [(50, prose(200, 3)), (51, "é" * 300)]
     keyed = suffix.keyed(spark.createDataFrame(rows, "doc_id long, text string"))
